@@ -147,48 +147,171 @@ def undo_multi(text: str, true: str) -> tuple[str, int]:
 _LETTER, _C1, _CASE = re.compile(r"[^\W\d_]"), re.compile("[\x80-\x9f]"), re.compile("[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]")
 #: Elided words before an apostrophe in French and Italian.
 _ELISION = re.compile(r"\W*(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu|aujourd|dell|nell|all|sull|un)’", re.I)
-_DIGIT = {ord(str(d)): "0" for d in range(10)}
+_FOLD: np.ndarray | None = None
+
+
+def _fold_table() -> np.ndarray:
+    """Lower case, digits as 0 and white space as a blank, for the basic plane."""
+    global _FOLD
+    if _FOLD is None:
+        table = np.arange(0x10000, dtype=np.uint32)
+        for cp in range(0x10000):
+            c = chr(cp)
+            low = c.lower()
+            table[cp] = 0x30 if c.isdecimal() else 0x20 if c.isspace() else ord(low) if len(low) == 1 else cp
+        _FOLD = table
+    return _FOLD
 
 
 def _bigrams(text: str) -> np.ndarray:
-    cps = np.frombuffer((" " + text.lower().translate(_DIGIT).replace("\n", " ") + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    cps = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), np.uint32)
+    cps = np.where(cps < 0x10000, _fold_table()[np.minimum(cps, 0xFFFF)], cps).astype(np.uint64)
     with np.errstate(over="ignore"):
         key = (cps[:-1] << np.uint64(21) | cps[1:]) * np.uint64(0x9E3779B97F4A7C15)
     return (key >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-_ODD = re.compile(r"[^\x00-\x7fáéíóúñüÁÉÍÓÚÑÜ¿¡àâãçèêëîïôõöäßùûœÀÇÉÊÔÕ°ºª«»“”‘’–—…̀-ͯЀ-ӿͰ-Ͽ؀-ۿऀ-෿฀-๿ -‏　-鿿＀-￯]|[a-z][—–’”“‘·…œ»«ºª°¡¿][a-z]|[A-Z][—–”“‘·…œîêèôûïëàâ»«ºª°][A-Z]")
-_CYR = re.compile(r"[Ѐ-ӿ]")
+#: Accented letters and signs of plain writing in the corpus' Latin languages.
+_PLAIN = "áéíóúñüÁÉÍÓÚÑÜ¿¡àâãçèêëîïôõöäùûœÀÇÉÊÔÕ°ºª«»“”‘’–—…"
+#: Characters that misread UTF-8 in Chinese often shows as.
+_GBK_SIGNS = "鍦鐨绗缁鏄鍚璇濂浠銆锛鈥鎴涓鏂"
+_LOWER_JOIN, _UPPER_JOIN = "—–’”“‘·…œ»«ºª°¡¿", "—–”“‘·…îêèôûïëàâ»«ºª°"
+_IS_ODD, _JOINS_LOWER, _JOINS_UPPER, _LOWER, _UPPER, _FOREIGN, _QUOTE, _RUSSIAN = (1 << k for k in range(8))
+#: Cyrillic in odd case or next to signs, and misread UTF-8 of Cyrillic.
 _MIXED = re.compile(r"\b[а-яё][А-ЯЁ]{2}|[─-╿≈≤≥÷°²·√][А-яё]|[А-яё][─-╿≈≤≥÷°²·√]|[РСГÐÑ][\u0080-¿Ђ-Џѐ-џ–-›°±µ¶·»]")
-_RARE_CJK = re.compile(r"[�-]|[鍦鐨绗缁鏄鍚璇濂浠銆锛鈥鎴涓鏂]")
-
-
-_TRACE = re.compile("�|" + "|".join(_utf8_pattern(x).pattern for x in ("cp1252", "cp437", "mac_roman")))
-
-
-def suspicious(text: str) -> bool:
-    """A cheap test that no garbled value fails: characters or neighbourhoods that plain writing lacks."""
-    if text.isascii():
-        return False
-    return bool(_ODD.search(text) or _MIXED.search(text) or _RARE_CJK.search(text))
-
-
-def undo_single(text: str, read_as: str, true: str, score) -> tuple[str, float]:
-    """Words that read better under another single-byte encoding, and the gain in log-likelihood."""
-    table, total, out = _single_table(read_as, true), 0.0, []
-    for piece in re.split(r"(\s+)", text):
-        if piece and not piece.isascii() and not piece.isspace():
-            got = piece.translate(table)
-            if got != piece and not _ELISION.match(piece) and len(_LETTER.findall(got)) >= 2 and _LETTER.search(piece) and not _C1.search(got) and len(_CASE.findall(got)) <= len(_CASE.findall(piece)):
-                gain = score(got) - score(piece)
-                if gain > 8:
-                    total += gain
-                    piece = got
-        out.append(piece)
-    return "".join(out), total
-
-
-def candidates(text: str, score) -> list[tuple[str, float, str]]:
+_CLASSES: np.ndarray | None = None
+
+
+def _classes() -> np.ndarray:
+    global _CLASSES
+    if _CLASSES is None:
+        table = np.zeros(0x10000, np.uint8)
+        known = [(0, 0x80), (0x300, 0x530), (0x600, 0x700), (0x900, 0xE80), (0x2000, 0x2010), (0x3000, 0xA000), (0xFF00, 0xFFF0)]
+        table[:] = _IS_ODD
+        for lo, hi in known:
+            table[lo:hi] = 0
+        for c in _PLAIN:
+            table[ord(c)] = 0
+        for c in _GBK_SIGNS:
+            table[ord(c)] = _IS_ODD
+        for c in _LOWER_JOIN:
+            table[ord(c)] |= _JOINS_LOWER
+        for c in _UPPER_JOIN:
+            table[ord(c)] |= _JOINS_UPPER
+        table[ord("’")] |= _QUOTE
+        table[ord("a") : ord("z") + 1] |= _LOWER
+        table[ord("A") : ord("Z") + 1] |= _UPPER
+        table[0x370:0x530] |= _FOREIGN
+        table[0x400:0x530] |= _RUSSIAN
+        _CLASSES = table
+    return _CLASSES
+
+
+def suspicious(texts: list[str | None]) -> list[int]:
+    """Indices of the texts with characters or neighbourhoods that plain writing lacks.
+
+    A cheap test, in NumPy over some million characters at a time, that no garbled value fails.
+    """
+    out, start, part, size = [], 0, [], 0
+    for i in range(len(texts) + 1):
+        if part and (i == len(texts) or size > 2_000_000):
+            out += [start + k for k in _suspicious(part)]
+            part, size = [], 0
+        if i < len(texts):
+            if not part:
+                start = i
+            t = texts[i] or ""
+            part.append("" if t.isascii() else t)
+            size += len(part[-1])
+    return out
+
+
+def _suspicious(part: list[str]) -> list[int]:
+    cps = np.frombuffer("\n\n".join(["", *part, ""]).encode("utf-32-le", "replace"), np.uint32)
+    kind = np.where(cps < 0x10000, _classes()[np.minimum(cps, 0xFFFF)], _IS_ODD).astype(np.uint8)
+    hit = (kind & _IS_ODD) > 0
+    before, after = kind[:-2], kind[2:]
+    lower, upper = (before & after & _LOWER) > 0, (before & after & _UPPER) > 0
+    mid = kind[1:-1]
+    joined = (((mid & _JOINS_LOWER) > 0) & lower) | (((mid & _JOINS_UPPER) > 0) & upper)
+    # an apostrophe after a single letter is an elision
+    single = np.concatenate(([True], (kind[:-3] & (_LOWER | _UPPER)) == 0))
+    joined &= ~(((mid & _QUOTE) > 0) & single)
+    near = ((mid & _FOREIGN) > 0) & (((before | after) & (_LOWER | _UPPER)) > 0)
+    hit[1:-1] |= joined | near
+    ends = np.cumsum([len(t) + 2 for t in part])
+    at = set(np.searchsorted(ends, np.flatnonzero(hit), "right").tolist())
+    russian = set(np.searchsorted(ends, np.flatnonzero((kind & _RUSSIAN) > 0), "right").tolist()) - at
+    at |= {k for k in russian if k < len(part) and _MIXED.search(part[k])}
+    return sorted(k for k in at if k < len(part))
+
+
+#: What misread UTF-8 shows at first sight.
+_TRACES = ("Ã", "â€", "├", "√", "�", "Ð", "Г")
+
+
+_EDGE = "“”«»‘’\"'()[]¿¡.,;:—–…?!"
+_WORD = re.compile(f"[^\x00-\x7f{_PLAIN[:_PLAIN.index('¿')]}àâãçêôõëï]|[A-Z][îêèôûïëàâ][A-Z]")
+
+
+class Scorer:
+    """Likelihoods under the bigram model, and what each chain makes of a word, remembered."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.list, self.fold = table, table.tolist(), _fold_table().tolist()
+        self.words: dict[str, dict[tuple[str, str], tuple[str, float]]] = {}
+
+    def __call__(self, text: str) -> float:
+        if len(text) < 40:
+            return self._short(text)
+        return float(self.table[_bigrams(text)].sum())
+
+    def _short(self, text: str) -> float:
+        fold, table = self.fold, self.list
+        total, last = 0.0, 0x20
+        for c in text:
+            cp = ord(c)
+            cp = fold[cp] if cp < 0x10000 else cp
+            total += table[((last << 21 | cp) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - _BITS)]
+            last = cp
+        return total + table[((last << 21 | 0x20) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - _BITS)]
+
+    def chains(self, word: str) -> dict[tuple[str, str], tuple[str, float]]:
+        """The single-byte chains under which the word reads better: what it becomes, and the gain."""
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > 200_000:
+                self.words.clear()
+            known = {}
+            if not _ELISION.match(word) and _LETTER.search(word):
+                here, cases = None, len(_CASE.findall(word))
+                for chain in SINGLE_BYTE:
+                    got = word.translate(_single_table(*chain))
+                    if got != word and len(_LETTER.findall(got)) >= 2 and not _C1.search(got) and len(_CASE.findall(got)) <= cases:
+                        here = self(word) if here is None else here
+                        gain = self(got) - here
+                        if gain > 8:
+                            known[chain] = (got, gain)
+            self.words[word] = known
+        return known
+
+
+def undo_single(text: str, score: Scorer) -> list[tuple[str, float, str]]:
+    """(chain, gain, text) with the words that read better under another single-byte encoding."""
+    totals: Counter = Counter()
+    for word in text.split():
+        if not word.isascii() and _WORD.search(word.strip(_EDGE)):
+            for chain, (_, gain) in score.chains(word).items():
+                totals[chain] += gain
+    out = []
+    for chain, total in totals.items():
+        parts = re.split(r"(\s+)", text)
+        restored = "".join(x if x.isascii() or x.isspace() else score.chains(x).get(chain, (x,))[0] for x in parts)
+        out.append((f"{chain[1]} read as {chain[0]}", total, restored))
+    return out
+
+
+def candidates(text: str, score: Scorer) -> list[tuple[str, float, str]]:
     """(chain, gain in log-likelihood over leaving the value as it is, candidate original), gains only."""
     found: list[tuple[str, float, str]] = []
     base: float | None = None
@@ -200,6 +323,8 @@ def candidates(text: str, score) -> list[tuple[str, float, str]]:
         return score(got) - base
 
     for read_as in UTF8_READ_AS:
+        if not _utf8_pattern(read_as).search(text):
+            continue
         got, hits = undo_utf8(text, read_as)
         if hits:
             g = gain(got)
@@ -208,7 +333,7 @@ def candidates(text: str, score) -> list[tuple[str, float, str]]:
             again, more = undo_utf8(undo_utf8(text, read_as, True)[0], read_as)
             if more and (g2 := gain(again)) > max(g, 0):
                 found.append((f"utf-8 read as {read_as} twice", g2, again))
-    if _CJK.search(text):
+    if any(x in text for x in ("�", *_GBK_SIGNS)):
         got, hits = undo_gbk(text)
         if hits:
             found.append((GBK, max(gain(got), 4.0 * hits), got))
@@ -217,10 +342,7 @@ def candidates(text: str, score) -> list[tuple[str, float, str]]:
             got, hits = undo_multi(text, true)
             if hits >= 4 and (g := gain(got)) > 0:
                 found.append((f"{true} read as cp1252", g, got))
-    for read_as, true in SINGLE_BYTE:
-        got, g = undo_single(text, read_as, true, score)
-        if g > 0:
-            found.append((f"{true} read as {read_as}", g, got))
+    found += undo_single(text, score)
     if "�" in text:
         found.append((LOSSY, 12.0 * text.count("�"), text))
     return found
@@ -240,7 +362,7 @@ def count_bigrams(values: DataFrame) -> np.ndarray:
             part: list[str] = []
             length = 0
             for t in batch.column(0).to_pylist():
-                if t and (t.isascii() or not _TRACE.search(t)):
+                if t and (t.isascii() or not any(x in t for x in _TRACES)):
                     part.append(t)
                     length += len(t)
                 if length > 2_000_000:
@@ -272,17 +394,13 @@ def evidence(values: DataFrame, model: np.ndarray) -> DataFrame:
     shared = values.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-
-        def score(text: str) -> float:
-            return float(table[_bigrams(text)].sum())
-
+        score = Scorer(shared.value)
         for batch in batches:
             rows: list[tuple] = []
             ids, fields, sources, texts = (batch.column(k).to_pylist() for k in range(4))
-            for i, f, s, t in zip(ids, fields, sources, texts):
-                if t and suspicious(t):
-                    rows += [(i, f, s, chain, g, got) for chain, g, got in candidates(t, score)]
+            for k in suspicious(texts):
+                i, f, s, t = ids[k], fields[k], sources[k], texts[k]
+                rows += [(i, f, s, chain, g, got) for chain, g, got in candidates(t, score)]
             columns = list(zip(*rows)) or [()] * 6
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in EVIDENCE.split(", ")])
@@ -337,7 +455,7 @@ def restore_lost(repaired: DataFrame, values: DataFrame) -> DataFrame:
         for batch in batches:
             c: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                if t and not t.isascii() and not suspicious(t):
+                if t and not t.isascii():
                     c.update(_MARKED.findall(t))
             yield pa.RecordBatch.from_arrays([pa.array([re.sub(r"[^A-Za-z]", "�", w) for w in c], pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["key", "word", "n"])
 

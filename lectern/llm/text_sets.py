@@ -1,8 +1,8 @@
-"""Word-shingle sets of texts, kept as packed binary columns.
+"""Word-shingle sets of texts, kept as packed word codes.
 
-One row a text: ``id``, ``set_id`` (hash of its set, equal for equal sets), ``n`` (size of the set)
-and ``feats`` (the set: sorted 32-bit shingle hashes, little endian).  Within a task ``feats`` is
-filled for the first row of a set only, so copies cost eight bytes each.
+One row a text: ``id``, ``tag``, ``set_id`` (hash of its shingle set, equal for equal sets), ``n`` (size of the
+set) and ``codes`` (32-bit codes of its words, in order, little endian).  Within a task ``codes`` is
+filled for the first row of a set only, so copies cost a few bytes each.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions.wordcodes import shingles, word_codes
 
-SET_SCHEMA = "id long, set_id long, n int, feats binary"
+SET_SCHEMA = "id long, tag string, set_id long, n int, codes binary"
 _LATIN_TOP = 0x250
 
 
@@ -38,48 +38,75 @@ def set_hash(sorted_set: np.ndarray) -> int:
     return int(total.astype(np.int64))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int, latin_only: bool) -> DataFrame:
+def grams(codes: bytes | np.ndarray, width: int) -> np.ndarray:
+    """32-bit hashes of the runs of ``width`` words, in order; a shorter text is one run."""
+    c = np.frombuffer(codes, np.uint32) if isinstance(codes, bytes) else codes
+    return (shingles(c.astype(np.uint64), min(width, max(c.size, 1))) >> np.uint64(32)).astype(np.uint32)
+
+
+def gram_set(codes: bytes | np.ndarray, width: int) -> np.ndarray:
+    """The same as a sorted set."""
+    return np.unique(grams(codes, width))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int, latin_only: bool, tag: Column | None = None) -> DataFrame:
     """The sets of all texts with at least ``min_words`` words (and ``width``), as above.
 
-    Null and shorter texts give no row.  Repeated rows give repeated rows.
+    Null and shorter texts, and with ``tag`` those of a null tag, give no row.  Repeated rows give repeated
+    rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple] = set()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, tags, texts = (batch.column(k).to_pylist() for k in range(3))
             rows: list[tuple] = []
             for i, codes in word_codes(texts):
-                if ids[i] is None or codes.size < max(min_words, width) or latin_only and not mainly_latin(texts[i]):
+                if codes.size < max(min_words, width) or latin_only and not mainly_latin(texts[i]):
                     continue
-                feats = np.unique((shingles(codes, width) >> np.uint64(32)).astype(np.uint32))
-                key = set_hash(feats)
-                rows.append((ids[i], key, feats.size, None if key in seen else feats.tobytes()))
+                short = (codes >> np.uint64(32)).astype(np.uint32)
+                found = gram_set(short, width)
+                key = (tags[i], set_hash(found))
+                rows.append((ids[i], tags[i], key[1], found.size, None if key in seen else short.tobytes()))
                 seen.add(key)
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "set_id", "n", "feats"])
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SET_SCHEMA)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if tag is None else tag).alias("tag"), F.col(text_col).alias("text"))
+    return rows.filter("id is not null and tag is not null and text is not null").mapInArrow(run, SET_SCHEMA)
 
 
-def sketch_of_sets(sets: DataFrame, bits: int) -> np.ndarray:
-    """How often the features of each of 2**bits buckets occur over all sets: a sketch of fixed size.
+def sketch_of_sets(sets: DataFrame, width: int, bits: int) -> np.ndarray:
+    """How often the runs of ``width`` words of each of 2**bits buckets occur over all sets: of fixed size.
 
     Every task adds its sets to one array; the arrays meet slice by slice in a shuffle, and the
     driver receives 4 * 2**bits bytes, whatever the corpus.
     """
-    width, slices = 1 << bits, 16
-    step = width // slices
+    size, slices = 1 << bits, 16
+    step = size // slices
+    shift = np.uint32(32 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint32)
+        total = np.zeros(size, np.uint32)
+        part, held = [], 0
+
+        def flush() -> None:
+            nonlocal part, held
+            if part:
+                where, n = np.unique(np.concatenate(part) >> shift, return_counts=True)
+                total[where] += n.astype(np.uint32)
+            part, held = [], 0
+
         some = False
         for batch in batches:
-            blob = b"".join(x for x in batch.column(0).to_pylist() if x)
-            if blob:
+            for blob in batch.column(0).to_pylist():
                 some = True
-                total += np.bincount(np.frombuffer(blob, np.uint32) >> np.uint32(32 - bits), minlength=width).astype(np.uint32)
+                part.append(gram_set(blob, width))
+                held += part[-1].size
+                if held > 4_000_000:
+                    flush()
+        flush()
         if some:
             parts = [total[k * step : (k + 1) * step].tobytes() for k in range(slices)]
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
@@ -93,8 +120,8 @@ def sketch_of_sets(sets: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = sets.select("feats").filter("feats is not null").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema).collect()
-    out = np.zeros(width, np.uint32)
+    parts = sets.select("codes").filter("codes is not null").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema).collect()
+    out = np.zeros(size, np.uint32)
     for row in parts:
         out[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(bytes(row["counts"]), np.uint32)
     return out
