@@ -13,29 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.wordcodes import shingles, word_codes
+from lectern.functions.wordcodes import code_chunks, mix, shingles, shingles_of_many
 
 SET_SCHEMA = "id long, tag string, set_id long, n int, codes binary"
-_LATIN_TOP = 0x250
 
 
-def mainly_latin(text: str) -> bool:
-    """At least half of the letters (seen at up to 4,000 evenly spread places) are Latin."""
-    if text.isascii():
-        return True
-    step = max(1, len(text) // 4000)
-    letters = [c for c in text[::step] if c.isalpha()]
-    latin = sum(ord(c) < _LATIN_TOP or 0x1E00 <= ord(c) < 0x1F00 or 0xFB00 <= ord(c) < 0xFB07 for c in letters)
-    return 2 * latin >= len(letters)
-
-
-def set_hash(sorted_set: np.ndarray) -> int:
-    """A 64-bit hash of a sorted set of 32-bit values."""
-    with np.errstate(over="ignore"):
-        x = (sorted_set.astype(np.uint64) + np.uint64(0x9E3779B9)) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        total = (x ^ (x >> np.uint64(29))).sum(dtype=np.uint64) + np.uint64(sorted_set.size)
-    return int(total.astype(np.int64))
+def many(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bounds) of packed texts, one after the other."""
+    bounds = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int64)
+    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64), bounds
 
 
 def grams(codes: bytes | np.ndarray, width: int) -> np.ndarray:
@@ -61,14 +47,28 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_word
         for batch in batches:
             ids, tags, texts = (batch.column(k).to_pylist() for k in range(3))
             rows: list[tuple] = []
-            for i, codes in word_codes(texts):
-                if codes.size < max(min_words, width) or latin_only and not mainly_latin(texts[i]):
-                    continue
+            for first, codes, bounds, latin in code_chunks(texts):
                 short = (codes >> np.uint64(32)).astype(np.uint32)
-                found = gram_set(short, width)
-                key = (tags[i], set_hash(found))
-                rows.append((ids[i], tags[i], key[1], found.size, None if key in seen else short.tobytes()))
-                seen.add(key)
+                sizes = np.diff(bounds)
+                fit = sizes >= max(min_words, width)
+                if latin_only:
+                    fit &= latin
+                runs, owner = shingles_of_many(short.astype(np.uint64), bounds, width)
+                pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | runs >> np.uint64(32))
+                owner, found = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
+                counts = np.bincount(owner, minlength=sizes.size)
+                hashes = np.zeros(sizes.size, np.uint64)
+                filled = np.flatnonzero(counts)
+                if filled.size:
+                    with np.errstate(over="ignore"):
+                        hashes[filled] = np.add.reduceat(mix(found + np.uint64(0x9E3779B97F4A7C15)), np.concatenate(([0], np.cumsum(counts[filled])[:-1])))
+                        hashes = mix(hashes + counts.astype(np.uint64))
+                keys = hashes.astype(np.int64).tolist()
+                for k in np.flatnonzero(fit).tolist():
+                    i = first + k
+                    key = (tags[i], keys[k])
+                    rows.append((ids[i], tags[i], keys[k], int(counts[k]), None if key in seen else short[bounds[k] : bounds[k + 1]].tobytes()))
+                    seen.add(key)
             columns = list(zip(*rows)) or [()] * 5
             types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
@@ -85,7 +85,6 @@ def sketch_of_sets(sets: DataFrame, width: int, bits: int) -> np.ndarray:
     """
     size, slices = 1 << bits, 16
     step = size // slices
-    shift = np.uint32(32 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
@@ -94,17 +93,17 @@ def sketch_of_sets(sets: DataFrame, width: int, bits: int) -> np.ndarray:
         def flush() -> None:
             nonlocal part, held
             if part:
-                where, n = np.unique(np.concatenate(part) >> shift, return_counts=True)
-                total[where] += n.astype(np.uint32)
+                runs, _ = shingles_of_many(*many(part), width)
+                total[:] += np.bincount((runs >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
             part, held = [], 0
 
         some = False
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 some = True
-                part.append(gram_set(blob, width))
-                held += part[-1].size
-                if held > 4_000_000:
+                part.append(blob)
+                held += len(blob)
+                if held > 16_000_000:
                     flush()
         flush()
         if some:
