@@ -13,11 +13,11 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-@query("agg_label_dist", """SELECT request_id, t1_label, count(*) AS n, sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) AS n_low, round(avg(t1_confidence), 3) AS mean_conf
+@query("agg_label_dist", """SELECT request_id, t1_label, count(*) AS n, sum(CASE WHEN low_confidence THEN 1 ELSE 0 END) AS n_low, round(avg(t1_confidence)::DECIMAL(18, 9), 3)::DOUBLE AS mean_conf
  FROM {SEG} GROUP BY ALL""")
 def agg_label_dist(spark, d):
     return seg(spark, d, "request_id", "t1_label", "low_confidence", "t1_confidence").groupBy("request_id", "t1_label").agg(
-        F.count("*").alias("n"), F.count_if("low_confidence").alias("n_low"), _r(F.avg("t1_confidence"), 3).alias("mean_conf"))
+        F.count("*").alias("n"), F.count_if("low_confidence").alias("n_low"), _r(_r(F.avg("t1_confidence"), 9), 3).alias("mean_conf"))
 
 
 @query("agg_contrib_summary", """SELECT request_id, count(*) AS total_fragments, count(*) FILTER (t1_label = 'CONTR') AS contributions_detected,
@@ -133,7 +133,7 @@ def agg_hit_freq(spark, d):
 STOPWORDS = "para como este esta estos estas entre desde hasta sobre según cuando donde pero sino también más menos todo toda todos todas otro otra otros otras cada cuya cuyo porque aunque mientras durante ante bajo tras sido fueron cual cuales".split()
 _TOP = "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zñáéíóúü]{4,}')) AS word FROM {src} WHERE {cond}) WHERE word NOT IN ({stop}) GROUP BY word) ORDER BY n DESC, word LIMIT {k}"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_TOP_ALL = _TOP.replace("{src}", "(SELECT DISTINCT * EXCLUDE (ingested_at) FROM fragments)").replace("{stop}", _STOP)
+_TOP_ALL = _TOP.replace("{src}", "{FRG}").replace("{stop}", _STOP)
 
 
 def _top_words(df, k):
@@ -141,12 +141,12 @@ def _top_words(df, k):
     return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
 
 
-@query("agg_top_words", _TOP_ALL.replace("{cond}", "true").replace("{k}", "60").replace("{4,}", "{{4,}}"))
+@query("agg_top_words", _TOP_ALL.replace("{cond}", "true").replace("{k}", "60"))
 def agg_top_words(spark, d):
     return _top_words(frg(spark, d, "text"), 60)
 
 
-_A, _B = (_TOP_ALL.replace("{cond}", f"a1_label = '{x}'").replace("{k}", "200").replace("{4,}", "{{4,}}") for x in ("ES_CONTRIBUCION", "NO_ES_CONTRIBUCION"))
+_A, _B = (_TOP_ALL.replace("{cond}", f"a1_label = '{x}'").replace("{k}", "200") for x in ("ES_CONTRIBUCION", "NO_ES_CONTRIBUCION"))
 
 
 @query("agg_vocab_diff", f"SELECT word FROM ({_A}) WHERE word NOT IN (SELECT word FROM ({_B}))")
@@ -176,7 +176,7 @@ def agg_cdf(spark, d):
 
 
 @query("agg_density", """WITH v AS (SELECT a1_label AS g, relative_pos AS x FROM {FRG} WHERE a1_label IS NOT NULL AND relative_pos IS NOT NULL), s AS (SELECT g, count(*) AS n, 0.15 * stddev_samp(x) AS h FROM v GROUP BY g),
- p AS (SELECT unnest(range(200)) / 199.0 AS at) SELECT s.g AS a1_label, round(p.at, 6) AS at, round(sum(exp(-((p.at - v.x) / s.h) ** 2 / 2)) / (any_value(s.n) * any_value(s.h) * sqrt(2 * pi())), 6) AS density FROM v JOIN s USING (g) CROSS JOIN p GROUP BY ALL""")
+ p AS (SELECT unnest(range(200)) / 199.0 AS at) SELECT s.g AS a1_label, round(p.at, 6) AS at, round(sum(exp(0 - (((p.at - v.x) / s.h) ** 2) / 2)) / (any_value(s.n) * any_value(s.h) * sqrt(2 * pi())), 6) AS density FROM v JOIN s USING (g) CROSS JOIN p GROUP BY ALL""")
 def agg_density(spark, d):
     rows = frg(spark, d, "a1_label", "relative_pos").filter("a1_label is not null and relative_pos is not null")
     out = st.density(rows, "a1_label", "relative_pos", 0.15, 0.0, 1.0, 200)
@@ -251,7 +251,7 @@ def agg_ensemble_votes(spark, d):
     return rows.groupBy("votes").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("votes") == 0, "unanimous_no").when(F.col("votes") == 6, "unanimous_yes").otherwise("mixed"))
 
 
-@query("agg_largest_remainder", """WITH c AS (SELECT request_id, t1_label, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY request_id) AS p FROM {SEG} WHERE t1_label <> '' GROUP BY ALL),
+@query("agg_largest_remainder", """WITH c AS (SELECT request_id, t1_label, 100.0 * n / sum(n) OVER (PARTITION BY request_id) AS p FROM (SELECT request_id, t1_label, count(*) AS n FROM {SEG} WHERE t1_label <> '' GROUP BY ALL)),
  f AS (SELECT *, floor(p) AS low, row_number() OVER (PARTITION BY request_id ORDER BY round(p - floor(p), 9) DESC, t1_label) AS r, 100 - sum(floor(p)) OVER (PARTITION BY request_id) AS spare FROM c)
  SELECT request_id, t1_label, (low + CASE WHEN r <= spare THEN 1 ELSE 0 END)::BIGINT AS pct FROM f""")
 def agg_largest_remainder(spark, d):

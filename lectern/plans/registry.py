@@ -26,11 +26,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; without SQL it is checked by tests alone."""
 
     def add(f: Query) -> Query:
+        nonlocal sql
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql.format(SEG=SEG, FRG=FRG, LOG=LOG, ANN=ANN) if "{" in sql else sql
+            for mark, view in (("{SEG}", SEG), ("{FRG}", FRG), ("{LOG}", LOG), ("{ANN}", ANN)):
+                sql = sql.replace(mark, view)
+            ORACLES[name] = sql
         return f
 
     return add

@@ -1 +1,280 @@
-"""Placeholder."""
+"""Scalar functions over text, arrays and JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import lexicon, text as tx
+from lectern.operators import answers, cleaning, segmentation as sg
+from lectern.plans.projections import _NS, _SP
+from lectern.plans.registry import frg, log, query, seg
+from lectern.sources.tables import table
+
+
+@query("txt_word_count", f"SELECT seg_id, len(regexp_extract_all(text, '{_NS}+')) AS n FROM {{SEG}}")
+def txt_word_count(spark, d):
+    return seg(spark, d, "text").select("seg_id", tx.word_count("text").alias("n"))
+
+
+@query("txt_word_count_re", "SELECT seg_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+')) AS n FROM {SEG}")
+def txt_word_count_re(spark, d):
+    return seg(spark, d, "text").select("seg_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}\p{M}_]+")).alias("n"))
+
+
+@query("txt_ws_collapse", f"SELECT seg_id, trim(regexp_replace(text, '{_SP}+', ' ', 'g')) AS t FROM {{SEG}}")
+def txt_ws_collapse(spark, d):
+    return seg(spark, d, "text").select("seg_id", tx.squeeze("text").alias("t"))
+
+
+@query("txt_split_para", "SELECT doc_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS p FROM documents WHERE regexp_matches(trim(text, ' ' || chr(10)), '\\n{2,}')) WHERE len(p) > 1")
+def txt_split_para(spark, d):
+    rows = table(spark, d, "documents", "doc_id", "text").filter(F.trim("text", F.lit(" \n")).rlike(r"\n{2,}"))
+    return rows.select("doc_id", F.posexplode(sg.paragraphs("text")).alias("idx", "paragraph"))
+
+
+@query("txt_split_para_all")
+def txt_split_para_all(spark, d):
+    """Paragraphs of every document, whichever way it is laid out."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.paragraphs("text")).alias("idx", "paragraph"))
+
+
+@query("txt_split_para_js")
+def txt_split_para_js(spark, d):
+    """The variant that peels headings off and knows accented capitals."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.paragraphs("text", "A-ZÁÉÍÓÚÜÑ", True)).alias("idx", "paragraph"))
+
+
+@query("txt_split_sent")
+def txt_split_sent(spark, d):
+    """Sentences, with the usual abbreviations protected."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(cleaning.sentences("text")).alias("idx", "sentence"))
+
+
+@query("txt_sent_alt")
+def txt_sent_alt(spark, d):
+    """Sentences by a segmenter of choice; without an installed library, by rules."""
+    return cleaning.sentences_by(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cleaning.installed_segmenter())
+
+
+@query("txt_split_sent_simple", "SELECT seg_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS s FROM (SELECT seg_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS p FROM {SEG})")
+def txt_split_sent_simple(spark, d):
+    return seg(spark, d, "text").select("seg_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^.!?]+[.!?]*"), F.lit(0))).alias("idx", "s"))
+
+
+@query("txt_segment_window")
+def txt_segment_window(spark, d):
+    """Snippets of 250 to 350 words from lines of five words or more."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.word_windows("text", 250, 350)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
+
+
+@query("txt_segment_window_v0")
+def txt_segment_window_v0(spark, d):
+    """The earlier variant: 250 to 750 words, only empty lines are left out."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.word_windows("text", 250, 750, 1)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
+
+
+@query("txt_sliding_frag")
+def txt_sliding_frag(spark, d):
+    """Overlapping windows of whole sentences, 250 to 1,000 words, with offsets and the heading before them."""
+    from lectern.operators import mining
+
+    return mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", min_words=100, max_words=400)
+
+
+@query("txt_normalize_pdf", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '-[\r\n]+([a-záéíóúüñ])', '\1', 'g'), '([.!?;:,])([A-ZÁÉÍÓÚÜÑ\d¿¡])', '\1 \2', 'g'), '$^', ''), '–', ' '), '—', ' '), '[ \t\r\f\v]{2,}', ' ', 'g'), '$^', '')) AS h FROM documents""")
+def txt_normalize_pdf(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.normalize_pdf("text")).alias("h"))
+
+
+@query("txt_dehyphen", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_]+)-[\s]+([\p{L}\p{N}_]+)', '\1\2', 'g'), '\s+', ' ', 'g'))) AS h FROM documents")
+def txt_dehyphen(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.dehyphen("text")).alias("h"))
+
+
+_V, _PH, _DH, _CAP = (tx.duck(x, "").replace("(?:a|á)", "[aá]") for x in (lexicon.CONTENT_VERBS, lexicon.PAGE_HEADER, lexicon.DOCUMENT_HEADER, lexicon.CAPTION))
+_KEEP = rf"""l = '' OR NOT (regexp_matches(l, '{_PH}') OR regexp_matches(l, '{_DH}') OR (length(l) < 120 AND (regexp_matches(l, '\d{{1,4}}\s*$') OR regexp_matches(l, '\.{{3,}}')) AND NOT regexp_matches(l, '{_V}'))
+ OR regexp_matches(l, '{_CAP}') OR (length(l) <= 80 AND length(regexp_replace(l, '[^\p{{Lu}}]', '', 'g')) >= 0.75 * length(regexp_replace(l, '[^\p{{L}}]', '', 'g')) AND length(regexp_replace(l, '[^\p{{L}}]', '', 'g')) > 0 AND NOT regexp_matches(l, '{_V}')))"""
+
+
+@query("txt_toc_filter", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM documents) WHERE {_KEEP} GROUP BY doc_id")
+def txt_toc_filter(spark, d):
+    lines = F.split(cleaning.without_toc("text"), "\n", -1)
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(lines).alias("n"))
+
+
+@query("txt_noise_sub")
+def txt_noise_sub(spark, d):
+    """Documents without references, links, captions and page numbers."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.without_noise("text").alias("clean"))
+
+
+@query("txt_clean", None)
+def txt_clean(spark, d):
+    """All cleaning steps in order."""
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.clean("text").alias("clean"))
+
+
+@query("txt_section_hint", """SELECT doc_id, coalesce(left(list_filter(list_transform(string_split(substr(text, greatest(c - 500, 0) + 1, least(c, 500)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) > 3 AND length(x) < 70 AND right(x, 1) <> '.' AND left(x, 1) <> '[')[-1], 60), 'unknown') AS hint FROM (SELECT doc_id, text, length(text) // 2 AS c FROM documents)""")
+def txt_section_hint(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.section_hint("text", F.floor(F.length("text") / 2).cast("int")).alias("hint"))
+
+
+_RC = ", ".join(f"len(regexp_extract_all(text, '{tx.duck(p)}')) AS {k.lower()}" for k, p in lexicon.T1_PATTERNS.items())
+
+
+@query("txt_regex_count", f"SELECT fragment_id, {_RC} FROM {{FRG}}")
+def txt_regex_count(spark, d):
+    return frg(spark, d, "text").select("fragment_id", *[tx.matches("text", p).alias(k.lower()) for k, p in lexicon.T1_PATTERNS.items()])
+
+
+@query("txt_kw_extract", f"SELECT fragment_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{tx.duck(lexicon.T1_PATTERNS['METH'])}'), lambda x: lower(x)))) AS keywords FROM {{FRG}}")
+def txt_kw_extract(spark, d):
+    found = F.regexp_extract_all("text", F.lit(tx.jvm(lexicon.T1_PATTERNS["METH"])), F.lit(0))
+    return frg(spark, d, "text").select("fragment_id", F.array_sort(F.array_distinct(F.transform(found, F.lower))).alias("keywords"))
+
+
+@query("txt_mask_dynamic")
+def txt_mask_dynamic(spark, d):
+    """Fragments whose own methodological words are masked, the longest first."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(tx.jvm(lexicon.T1_PATTERNS["METH"])), F.lit(0)), F.lower))
+    return frg(spark, d, "text").select("fragment_id", cleaning.mask("text", found).alias("masked"))
+
+
+_SOFT = "|".join(sorted(lexicon.SOFT_MASK_KEYWORDS, key=lambda k: (-len(k), k)))
+
+
+@query("txt_mask_soft", rf"SELECT fragment_id, md5(trim(regexp_replace(regexp_replace(text, '(?i)\b({_SOFT})\b', '[MASK]', 'g'), '\s+', ' ', 'g'))) AS h FROM {{FRG}}")
+def txt_mask_soft(spark, d):
+    return frg(spark, d, "text").select("fragment_id", F.md5(cleaning.soft_mask("text")).alias("h"))
+
+
+@query("txt_mask_csv_kw")
+def txt_mask_csv_kw(spark, d):
+    """Keywords from a comma-separated column; where it is null, the text stays as it is."""
+    rows = frg(spark, d, "text", "section_hint")
+    return rows.select("fragment_id", cleaning.mask_listed("text", F.lower("section_hint")).alias("masked"))
+
+
+@query("txt_mask_count", rf"SELECT fragment_id, len(regexp_extract_all(text, '(?i)\b({_SOFT})\b')) AS masks FROM {{FRG}}")
+def txt_mask_count(spark, d):
+    return frg(spark, d, "text").select("fragment_id", cleaning.mask_count(cleaning.soft_mask("text")).alias("masks"))
+
+
+@query("txt_truncate_anchor")
+def txt_truncate_anchor(spark, d):
+    """Texts above 400 words cut to a window around their first keyword."""
+    return frg(spark, d, "text").select("fragment_id", cleaning.truncate_around("text", F.col("fragment_id"), lexicon.SOFT_MASK_KEYWORDS).alias("window"))
+
+
+@query("prep_refactor")
+def prep_refactor(spark, d):
+    """Front matter dropped, window cut, masked again; test rows are only masked."""
+    rows = frg(spark, d, "text", "split").withColumn("test", F.lower(F.trim("split")) == "test")
+    kept = rows.filter(F.coalesce("test", F.lit(False)) | (sg.frontmatter_score("text") < 2))
+    cut = F.when(F.coalesce("test", F.lit(False)), F.col("text")).otherwise(cleaning.truncate_around("text", F.col("fragment_id"), lexicon.SOFT_MASK_KEYWORDS))
+    out = kept.select("fragment_id", cleaning.soft_mask(cut).alias("text"))
+    return out.select("fragment_id", "text", tx.word_count("text").alias("n"), cleaning.mask_count("text").alias("masks"))
+
+
+@query("txt_neutralize")
+def txt_neutralize(spark, d):
+    """Signs of a contribution replaced by neutral wording, the first place of each."""
+    rows = frg(spark, d, "text", "explicit_hits").filter("size(explicit_hits) > 0")
+    return rows.select("fragment_id", cleaning.neutralize("text", "explicit_hits").alias("neutral"))
+
+
+_PH20 = "[" + ", ".join("'" + p + "'" for p in lexicon.INJECTION_PHRASES) + "]"
+
+
+@query("txt_inject", f"SELECT fragment_id, md5({_PH20}[fragment_id % 20 + 1] || ' ' || text) AS h FROM {{FRG}} WHERE a1_label = 'NO_ES_CONTRIBUCION'")
+def txt_inject(spark, d):
+    return frg(spark, d, "text", "a1_label").filter("a1_label = 'NO_ES_CONTRIBUCION'").select("fragment_id", F.md5(cleaning.inject("text", F.col("fragment_id") % 20)).alias("h"))
+
+
+_T1 = "('INTRO','BACK','METH','RES','DISC','LIM','CONC')"
+
+
+@query("txt_prefix_ctx", f"SELECT seg_id, '[SECCION:' || CASE WHEN upper(trim(t1_label)) IN {_T1} THEN upper(trim(t1_label)) ELSE 'UNK' END || '] [POS:' || printf('%.1f', least(0.9, greatest(0, round_even(least(1, greatest(0, coalesce(relative_pos, 0.5))) * 10, 0) / 10))) || '] ' || left(text, 40) AS t FROM {{SEG}}")
+def txt_prefix_ctx(spark, d):
+    return seg(spark, d, "t1_label", "relative_pos", "text").select("seg_id", answers.context_prefix("t1_label", "relative_pos", F.left("text", F.lit(40))).alias("t"))
+
+
+@query("txt_rhet_context", "SELECT seg_id, 'Contribucion detectada en seccion ''' || t1_label_name || ''' (' || round_even(t1_confidence * 100, 0)::INT || '% conf. retorica) | ' || rhetorical_zone AS msg FROM {SEG} WHERE t1_label = 'CONTR'")
+def txt_rhet_context(spark, d):
+    rows = seg(spark, d, "t1_label", "t1_label_name", "t1_confidence", "rhetorical_zone").filter("t1_label = 'CONTR'")
+    return rows.select("seg_id", answers.context_message("heuristic", F.col("t1_label_name"), F.col("t1_confidence"), F.col("rhetorical_zone")).alias("msg"))
+
+
+@query("txt_rhet_context_all")
+def txt_rhet_context_all(spark, d):
+    """The messages of all four kinds of model."""
+    rows = seg(spark, d, "t1_label", "t1_label_name", "t1_confidence", "rhetorical_zone").filter("t1_label = 'CONTR'")
+    return rows.select("seg_id", *[answers.context_message(k, F.col("t1_label_name"), F.col("t1_confidence"), F.col("rhetorical_zone"), F.lit(0.65)).alias(k) for k in answers.MESSAGES])
+
+
+@query("txt_parse_yesno", "SELECT log_id, CASE WHEN regexp_matches(lower(trim(raw_answer)), '^(si|sí|yes)') THEN 1 ELSE 0 END AS yes FROM {LOG} WHERE task = 'T2'")
+def txt_parse_yesno(spark, d):
+    return log(spark, d, "task", "raw_answer").filter("task = 'T2'").select("log_id", answers.yes_no("raw_answer").alias("yes"))
+
+
+_NEEDLES = sorted(lexicon.ANSWER_LABELS, key=lambda k: (-len(k), list(lexicon.ANSWER_LABELS).index(k)))
+_BY = " ".join(f"WHEN regexp_matches(a, '(^|[^\\p{{L}}\\p{{N}}_]){n}($|[^\\p{{L}}\\p{{N}}_])') THEN '{lexicon.ANSWER_LABELS[n] if lexicon.ANSWER_LABELS[n] != 'CONTR' else 'UNKNOWN'}'" for n in _NEEDLES)
+
+
+@query("txt_parse_label", f"SELECT log_id, CASE WHEN a IS NULL OR a = '' THEN 'UNKNOWN' {_BY} ELSE 'UNKNOWN' END AS label FROM (SELECT log_id, upper(trim(raw_answer)) AS a FROM {{LOG}} WHERE task = 'T1')")
+def txt_parse_label(spark, d):
+    return log(spark, d, "task", "raw_answer").filter("task = 'T1'").select("log_id", answers.section_label("raw_answer").alias("label"))
+
+
+_V0 = " ".join(f"WHEN contains(a, '{k}') THEN '{k}'" for k in lexicon.T1_PATTERNS)
+
+
+@query("txt_parse_label_v0", f"SELECT log_id, CASE {_V0} END AS label FROM (SELECT log_id, upper(raw_answer) AS a FROM {{LOG}} WHERE task = 'T1')")
+def txt_parse_label_v0(spark, d):
+    return log(spark, d, "task", "raw_answer").filter("task = 'T1'").select("log_id", answers.first_label("raw_answer", list(lexicon.T1_PATTERNS)).alias("label"))
+
+
+@query("txt_tokens_topn", "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zñáéíóúü]{4,}')) AS word FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 25")
+def txt_tokens_topn(spark, d):
+    found = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zñáéíóúü]{4,}"), F.lit(0))).alias("word"))
+    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
+
+
+@query("txt_hash", "SELECT doc_id, substr(md5(left(text, 2048)), 1, 12) AS m, substr(sha1(left(text, 65536)), 1, 12) AS s1, sha256(text) AS s2 FROM documents")
+def txt_hash(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.substring(F.md5(F.substring("text", 1, 2048)), 1, 12).alias("m"), F.substring(F.sha1(F.substring("text", 1, 65536)), 1, 12).alias("s1"), F.sha2("text", 256).alias("s2"))
+
+
+@query("txt_few_shot_prompt", "SELECT item_id, 'Responda SI o NO.' || chr(10) || string_agg('Texto: ' || left(text, 60) || chr(10) || 'Respuesta: ' || label, chr(10)) OVER (ORDER BY item_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prompt FROM gold_items WHERE item_set = 'gold_t2'")
+def txt_few_shot_prompt(spark, d):
+    return answers.few_shot_prompts(table(spark, d, "gold_items", "item_id", "item_set", "text", "label").filter("item_set = 'gold_t2'"), "item_id", "text", "label", 3, "Responda SI o NO.")
+
+
+@query("txt_html_escape", "SELECT seg_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS h FROM {SEG}")
+def txt_html_escape(spark, d):
+    return seg(spark, d, "text").select("seg_id", F.md5(answers.escape_html("text")).alias("h"))
+
+
+@query("num_clip", "SELECT fragment_id, least(1, greatest(0, score_implicit * 1.5)) AS v FROM {FRG}")
+def num_clip(spark, d):
+    return frg(spark, d, "score_implicit").select("fragment_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score_implicit") * 1.5)).alias("v"))
+
+
+@query("num_round", "SELECT seg_id, round_even(t1_confidence * 100, 0)::BIGINT AS pct FROM {SEG}")
+def num_round(spark, d):
+    return seg(spark, d, "t1_confidence").select("seg_id", tx.half_even(F.col("t1_confidence") * 100).cast("long").alias("pct"))
+
+
+@query("num_frag_stats", "SELECT fragment_id, length(text) AS chars, len(explicit_hits) AS n_exp, len(implicit_hits) AS n_imp, coalesce(explicit_hits[1].label, 'none') AS top_pattern, round(score_explicit + score_implicit, 6) AS total FROM {FRG}")
+def num_frag_stats(spark, d):
+    return frg(spark, d, "text", "explicit_hits", "implicit_hits", "score_explicit", "score_implicit").select("fragment_id", F.length("text").alias("chars"), F.size("explicit_hits").alias("n_exp"), F.size("implicit_hits").alias("n_imp"), F.coalesce(F.get("explicit_hits", F.lit(0))["label"], F.lit("none")).alias("top_pattern"), F.round(F.col("score_explicit") + F.col("score_implicit"), 6).alias("total"))
+
+
+@query("arr_key_phrases", "SELECT fragment_id, left(array_to_string(list_transform(explicit_hits, lambda x: x.hit_text), '; '), 200) AS phrases FROM {FRG} WHERE len(explicit_hits) > 0")
+def arr_key_phrases(spark, d):
+    return frg(spark, d, "explicit_hits").filter("size(explicit_hits) > 0").select("fragment_id", F.left(F.array_join("explicit_hits.hit_text", "; "), F.lit(200)).alias("phrases"))
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, date_trunc('day', ts)::VARCHAR[1:10] AS day FROM events".replace("date_trunc('day', ts)::VARCHAR[1:10]", "strftime(ts, '%Y-%m-%d')"))
+def json_props(spark, d):
+    return table(spark, d, "events", "event_id", "props", "ts").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
