@@ -1 +1,127 @@
-"""Placeholder."""
+"""Sources and sinks: what is written is read back and must be the same."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lectern.plans.registry import frg, log, query, seg
+from lectern.runtime import shared_dir
+from lectern.sources import readers, writers
+from lectern.sources.tables import table
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark, d, name):
+    """The documents as text files, a folder of each source; many small files, written by many tasks."""
+    at = _folder(spark, name)
+    rows = table(spark, d, "documents", "doc_id", "text")
+    rows.select(F.concat(F.lit("d"), F.pmod("doc_id", F.lit(16))).alias("part"), F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("part").text(at)
+    return at
+
+
+@query("src_txt_dir", "SELECT doc_id, length(text) AS chars FROM documents")
+def src_txt_dir(spark, d):
+    """Documents written as one line each to .txt files and read by glob."""
+    at = _files(spark, d, "txt-dir")
+    rows = spark.read.option("pathGlobFilter", "*.txt").text(at)
+    return rows.select(F.from_json("value", "doc_id long, text string").alias("x")).select("x.doc_id", F.length("x.text").alias("chars"))
+
+
+@query("src_recursive", "SELECT doc_id, length(text) AS chars FROM documents")
+def src_recursive(spark, d):
+    lines = readers.text_documents(spark, _files(spark, d, "recursive"), recursive=True).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.from_json("line", "doc_id long, text string").alias("x")).select("x.doc_id", F.length("x.text").alias("chars"))
+
+
+@query("src_decode", "SELECT doc_id, substr(md5(left(text, 2048)), 1, 12) AS h FROM documents WHERE length(text) >= 300")
+def src_decode(spark, d):
+    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return rows.select("doc_id", readers.decoded("content").alias("text")).filter(F.length("text") >= 300).select("doc_id", F.substring(F.md5(F.substring("text", 1, 2048)), 1, 12).alias("h"))
+
+
+@query("src_jsonl", "SELECT fragment_id, a1_label, len(explicit_hits) AS hits FROM {FRG}")
+def src_jsonl(spark, d):
+    at = _folder(spark, "jsonl")
+    frg(spark, d, "a1_label", "explicit_hits").write.json(at)
+    rows = readers.json_lines(spark, at, "fragment_id long, a1_label string, explicit_hits array<struct<label:string,hit_text:string>>")
+    return rows.select("fragment_id", "a1_label", F.coalesce(F.size("explicit_hits"), F.lit(0)).alias("hits"))
+
+
+@query("src_csv", "SELECT item_id::VARCHAR AS item_id, md5(text) AS h, label FROM gold_items")
+def src_csv(spark, d):
+    at = _folder(spark, "csv")
+    writers.write_csv(table(spark, d, "gold_items", "item_id", "text", "label"), at)
+    return readers.csv_strings(spark, at).select("item_id", F.md5("text").alias("h"), "label")
+
+
+@query("src_doc")
+def src_doc(spark, d):
+    """Error codes of file contents that are no Word files."""
+    rows = table(spark, d, "gold_items", "item_id", "text").select(F.concat("item_id", F.lit(".doc")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return readers.office_documents(rows)
+
+
+@query("snk_jsonl_roles", """WITH r AS (SELECT fragment_id, lower(trim(contr_type)) AS k, lower(trim(tarea2_role)) AS r FROM {FRG}), s AS (SELECT 't1' AS sink, fragment_id FROM r WHERE k IN ('explicit', 'implicit') UNION ALL SELECT 't2_positive', fragment_id FROM r WHERE r = 'positive'
+ UNION ALL SELECT 't2_hard_negative', fragment_id FROM r WHERE r = 'hard_negative' UNION ALL (SELECT 't2_negative', fragment_id FROM r WHERE r = 'negative' ORDER BY fragment_id LIMIT 500)) SELECT * FROM s""")
+def snk_jsonl_roles(spark, d):
+    return writers.by_role(frg(spark, d, "contr_type", "tarea2_role"), ["fragment_id"], 500).select("sink", "fragment_id")
+
+
+@query("export_rhetorical", "SELECT seg_index + 1 AS number, t1_label, t1_label_name, t1_confidence, CASE WHEN t1_confidence <= 0.42 THEN 'SI' ELSE 'NO' END AS confianza_baja, CASE WHEN t1_label = 'CONTR' THEN 'ES_CONTRIBUCION' ELSE 'NO_ES_CONTRIBUCION' END AS t2, rhetorical_zone, relative_pos, ceil((seg_index + 1) / 6.0)::INT AS pagina, word_count, md5(text) AS texto, seg_id FROM {SEG}")
+def export_rhetorical(spark, d):
+    rows = seg(spark, d, "seg_index", "t1_label", "t1_label_name", "t1_confidence", "rhetorical_zone", "relative_pos", "word_count", "text")
+    yes = lambda c, a, b: F.when(c, a).otherwise(b)
+    return rows.select((F.col("seg_index") + 1).alias("number"), "t1_label", "t1_label_name", "t1_confidence", yes(F.col("t1_confidence") <= 0.42, "SI", "NO").alias("confianza_baja"), yes(F.col("t1_label") == "CONTR", "ES_CONTRIBUCION", "NO_ES_CONTRIBUCION").alias("t2"), "rhetorical_zone", "relative_pos", F.ceil((F.col("seg_index") + 1) / 6).cast("int").alias("pagina"), "word_count", F.md5("text").alias("texto"), "seg_id")
+
+
+@query("export_contrib", "SELECT row_number() OVER (PARTITION BY request_id ORDER BY seg_index, seg_id) AS number, t1_label_name || ' (' || round_even(t1_confidence * 100, 0)::INT || '%)' AS contexto, rhetorical_zone, relative_pos, word_count, char_start, char_end, md5(text) AS fragmento, seg_id FROM {SEG} WHERE t1_label = 'CONTR'")
+def export_contrib(spark, d):
+    from pyspark.sql import Window
+
+    from lectern.operators.answers import percent
+
+    rows = seg(spark, d, "request_id", "seg_index", "t1_label", "t1_label_name", "t1_confidence", "rhetorical_zone", "relative_pos", "word_count", "char_start", "char_end", "text").filter("t1_label = 'CONTR'")
+    n = F.row_number().over(Window.partitionBy("request_id").orderBy("seg_index", "seg_id"))
+    return rows.select(n.alias("number"), F.concat("t1_label_name", F.lit(" ("), percent(F.col("t1_confidence")), F.lit("%)")).alias("contexto"), "rhetorical_zone", "relative_pos", "word_count", "char_start", "char_end", F.md5("text").alias("fragmento"), "seg_id")
+
+
+@query("snk_json_html_pdf")
+def snk_json_html_pdf(spark, d):
+    """Rows of an HTML report, and each row as JSON."""
+    rows = seg(spark, d, "t1_label", "text")
+    return writers.html_rows(rows, ["seg_id", "t1_label", "text"])
+
+
+@query("snk_splits", "SELECT lower(trim(split)) AS split, a1_label, count(*) AS n FROM {FRG} WHERE split IS NOT NULL GROUP BY ALL")
+def snk_splits(spark, d):
+    rows = frg(spark, d, "split", "a1_label", "text").filter("split is not null").withColumn("split", F.lower(F.trim("split")))
+    return writers.write_splits(rows, _folder(spark, "splits"), "despues")
+
+
+@query("snk_predlog", "SELECT strftime(predicted_at, '%Y-%m-%d') AS dt, count(*) AS n, count(DISTINCT model_id) AS models FROM {LOG} GROUP BY 1")
+def snk_predlog(spark, d):
+    at = _folder(spark, "predlog")
+    writers.write_prediction_log(log(spark, d, "predicted_at", "model_id", "confidence"), at, "predicted_at")
+    return spark.read.schema("log_id long, model_id string, dt string").json(at).groupBy("dt").agg(F.count("*").alias("n"), F.countDistinct("model_id").alias("models"))
+
+
+@query("snk_checkpoint", "SELECT doc_id FROM documents WHERE doc_id > 500")
+def snk_checkpoint(spark, d):
+    """What is left after the last document of an interrupted run."""
+    last = spark.createDataFrame([(500,)], "last long")
+    return table(spark, d, "documents", "doc_id").join(F.broadcast(last)).filter("doc_id > last").select("doc_id")
+
+
+@query("snk_partial", "SELECT fragment_id, substr(sha1(text), 1, 12) AS key FROM {FRG}")
+def snk_partial(spark, d):
+    """Results kept as Parquet under the hash of their input, and joined back instead of computed again."""
+    from lectern.runtime import materialize
+
+    rows = frg(spark, d, "text").select("fragment_id", F.substring(F.sha1("text"), 1, 12).alias("key"))
+    cache = materialize(rows.select("key").distinct(), "inference-cache")
+    return rows.join(cache, "key").select("fragment_id", "key")
