@@ -146,7 +146,7 @@ def undo_multi(text: str, true: str) -> tuple[str, int]:
 
 _LETTER, _C1, _CASE = re.compile(r"[^\W\d_]"), re.compile("[\x80-\x9f]"), re.compile("[a-zß-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]")
 #: Elided words before an apostrophe in French and Italian.
-_ELISION = re.compile(r"\W*(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu|aujourd|dell|nell|all|sull|un)’", re.I)
+_ELISION = re.compile(r"\W*(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu|aujourd|dell|nell|all|sull|un)’(?=[aeiouyhàâæéèêëîïôœûü])", re.I)
 _FOLD: np.ndarray | None = None
 
 
@@ -250,6 +250,13 @@ def _suspicious(part: list[str]) -> list[int]:
 _TRACES = ("Ã", "â€", "├", "√", "�", "Ð", "Г")
 
 
+def _misread(text: str) -> bool:
+    """Whether a value plainly holds misread UTF-8, or lost characters."""
+    if text.isascii() or not any(x in text for x in _TRACES):
+        return False
+    return "�" in text or any(_utf8_pattern(r).search(text) for r in ("cp1252", "cp437", "cp1251", "mac_roman"))
+
+
 _EDGE = "“”«»‘’\"'()[]¿¡.,;:—–…?!"
 _WORD = re.compile(f"[^\x00-\x7f{_PLAIN[:_PLAIN.index('¿')]}àâãçêôõëï]|[A-Z][îêèôûïëàâ][A-Z]")
 
@@ -362,7 +369,7 @@ def count_bigrams(values: DataFrame) -> np.ndarray:
             part: list[str] = []
             length = 0
             for t in batch.column(0).to_pylist():
-                if t and (t.isascii() or not any(x in t for x in _TRACES)):
+                if t and not _misread(t):
                     part.append(t)
                     length += len(t)
                 if length > 2_000_000:
@@ -383,7 +390,7 @@ def count_bigrams(values: DataFrame) -> np.ndarray:
     total = np.zeros(size, np.int64)
     for row in values.mapInArrow(count, "slice int, counts binary").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary").collect():
         total[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(bytes(row["counts"]), np.int64)
-    return np.log((total + 0.3) / (total.sum() + 0.3 * size)).astype(np.float32)
+    return np.log((total + 0.05) / (total.sum() + 0.05 * size)).astype(np.float32)
 
 
 EVIDENCE = "id long, field string, source string, chain string, gain double, restored string"
