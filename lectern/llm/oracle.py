@@ -1,3 +1,27 @@
-"""SQL equivalents, for DuckDB."""
+"""SQL equivalents, for DuckDB, of those queries that SQL expresses on whole tables."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_DOC = r"lower(regexp_replace(lower(trim(doc_id)), '(\.(txt|json|jsonl|pdf))+$', ''))"
+_HASH = "lower(trim(doc_hash))"
+_LINKS = f"(SELECT DISTINCT {_DOC} AS doc, {_HASH} AS h FROM fragments WHERE doc_id IS NOT NULL AND doc_hash IS NOT NULL AND {_HASH} NOT IN ('', 'd41d8cd98f00', 'da39a3ee5e6b', 'e3b0c44298fc', 'none', 'null', 'nan', 'n/a', 'na', '-', 'unknown') AND NOT regexp_matches({_HASH}, '^(0+|f+|-+)$'))"
+
+
+def _plain(c: str) -> str:
+    return rf"regexp_replace(lower(trim({c})), '[\s_\-]+', '', 'g')"
+
+
+_CAT = ("contr_type", "tarea1_label", "tarea2_role")
+_MATCH = " AND ".join(f"(t.{c} IS NULL OR {_plain('t.' + c)} = coalesce({_plain('f.' + c)}, ''))" for c in _CAT)
+_ASKED = f"""(SELECT t.plan_id, t.target_id, greatest(t.min_rows, (round(t.target_share * 1000)::BIGINT * t.sample_rows + 999) // 1000) AS wanted, count(f.fragment_id) AS available
+ FROM sample_targets t LEFT JOIN (SELECT DISTINCT fragment_id, {', '.join(_CAT)} FROM fragments) f ON {_MATCH} GROUP BY ALL)"""
+_SIZES = f"(SELECT {_plain('source')} AS k, sum(length(text)) AS size FROM documents GROUP BY 1)"
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH RECURSIVE l AS (SELECT DISTINCT a.doc AS a, b.doc AS b FROM {_LINKS} a JOIN {_LINKS} b USING (h) WHERE a.doc <> b.doc), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT DISTINCT a AS doc_a, b AS doc_b FROM r WHERE a < b""",
+    "p2_found": f"SELECT plan_id, target_id FROM {_ASKED} WHERE available < wanted",
+    "p3_found": r"SELECT DISTINCT fragment_id FROM fragments WHERE length(text) > 10000 OR len(regexp_extract_all(text, '[^\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]+')) > 1000",
+    # no case hangs on the choice of tokenizer: characters stand for tokens
+    "p9_found": f"SELECT mix_id, source FROM (SELECT t.*, coalesce(s.size, 0) AS size, (SELECT sum(size) FROM {_SIZES}) AS whole FROM mix_targets t LEFT JOIN {_SIZES} s ON s.k = {_plain('t.source')}) WHERE size * max_repeats < target_share * budget_ratio * whole",
+}

@@ -20,9 +20,9 @@ UNITS = "id long, unit_index int, end_pos int, unit string"
 
 #: Abbreviations no sentence ends with, by language.
 ABBREVIATIONS = {
-    "es": "Dr Dra Dres Sr Sra Srta Sres Prof Profa Lic Ing Arq Mtro Mtra Fig Figs Ec Ecs Tab Tabs cf cfr p pp pág págs vol vols núm núms art arts ed eds s ss sec cap caps aprox ej al vid véase op cit ibíd ca Cía D Dña Ud Uds Vd tel av Avda EE RR FF máx mín prom gral Gral Cap Cmdte",
-    "en": "Mr Mrs Ms Dr Drs Prof St Sts Rev Hon Gen Col Capt Lt Sgt Jr vs viz cf fig figs eq eqs eqn tab no nos vol vols p pp ed eds sec ch chap approx ca al i.e e.g Inc Ltd Dept Univ Gov Sen Rep",
-    "pt": "Dr Dra Sr Sra Srta Prof Profa Eng fig figs tab eq cf p pp pág págs vol vols núm nº art arts ed eds séc cap aprox ex al obs",
+    "es": "Dr Dra Dres Sr Sra Srta Sres Prof Profa Lic Ing Arq Mtro Mtra Fig Figs Ec Ecs Tab Tabs cf cfr p pp pág págs vol vols núm núms s ss aprox ej al vid véase op cit ibíd ca Cía D Dña Ud Uds Vd tel av Avda EE RR FF máx mín prom gral Gral Cap Cmdte",
+    "en": "Mr Mrs Ms Dr Drs Prof St Sts Rev Hon Gen Col Capt Lt Sgt Jr vs viz cf fig figs eq eqs eqn vol vols p pp approx ca al i.e e.g Inc Ltd Dept Univ Gov Sen Rep",
+    "pt": "Dr Dra Sr Sra Srta Prof Profa Eng fig figs cf p pp pág págs vol vols núm nº aprox ex al obs",
     "fr": "M MM Mme Mmes Mlle Dr Pr Me fig figs tab éq cf p pp vol vols n art éd chap env al av apr ex",
     "de": "Dr Prof Hr Fr Nr Abb Tab Gl vgl bzw ca z.B d.h u.a S Bd Hrsg usw Kap",
     "ru": "г гг см рис табл стр с т е п пп ст ч др проф акад им ул напр тыс млн млрд руб вып ред изд кн гл прим ср",
@@ -32,7 +32,7 @@ ABBREVIATIONS = {
     "th": "ดร ศ รศ ผศ นาย พ.ศ ค.ศ น.ส",
 }
 #: Abbreviations that only go on before a number, a bracket or a small letter.
-NUMERIC = "no nos núm num fig figs tab ec eq vol p pp pág art cap sec ed n nº ch chap"
+NUMERIC = "no nos núm num fig figs tab ec eq vol p pp pág art arts cap caps sec séc ed eds n nº ch chap"
 _UPPER_INITIAL = r"(?:^|[\s(«“\"'‘\[—–-])[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
 _OPEN = r"[«“\"'‘(\[¿¡„‹—–-]"
 _SMALL = r"[a-zß-öø-ÿа-яёα-ωά-ώāăąćčďđēęěğīłńňōőŕřśşšťūůűźżž]"

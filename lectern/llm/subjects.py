@@ -63,7 +63,7 @@ class SubjectModel:
 
     areas: list[str]
     terms: np.ndarray  # sorted term codes
-    weights: np.ndarray  # terms x areas: log-odds of the area, given the term
+    weights: np.ndarray  # terms x areas: log-odds of the area, given the term, in units of what is possible
     cutoff: float  # least score of a subject-bearing sentence
     order: list[int]  # areas, in the order of the chain
     chain: np.ndarray  # a row an area in that order: weights of features, of labels before, and bias
@@ -122,7 +122,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int =
     return w
 
 
-def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], areas: list[str], *, rounds: int = 8, cutoff: float = 1.5, beam: int = 8) -> SubjectModel:
+def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], areas: list[str], *, rounds: int = 8, cutoff: float = 0.65, beam: int = 8) -> SubjectModel:
     """Train on labelled documents; without any, a model that gives no document an area."""
     k = len(areas)
     index = {a: i for i, a in enumerate(areas)}
@@ -174,10 +174,10 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
     area_mass = mass[:, :k]
     n = mass.sum(1)
     part = (area_mass + 0.02) / (n[:, None] + 0.02 * (k + 1) + 0.3)
-    base = total[:k] / total.sum()
-    weight = np.log(part / base)
+    base = np.clip(total[:k] / total.sum(), 1e-6, 0.9)
+    weight = np.log(part / base) / np.log(1 / base)  # 1: the term stands in this area only
     keep = (n >= 2) & (part.max(1) >= 0.5)
-    model.terms, model.weights = terms[keep], np.clip(weight[keep], -2, 3)
+    model.terms, model.weights = terms[keep], np.clip(weight[keep], -1, 1)
     counts = y.sum(0)
     model.order = [int(i) for i in np.argsort(-counts, kind="stable")]
     smooth = (counts + 1) / (len(texts) + 2)
