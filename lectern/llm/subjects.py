@@ -10,6 +10,7 @@ a beam search finds the most probable combination of labels.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.functions.wordcodes import word_codes
+from lectern.functions.wordcodes import code_chunks
 from lectern.llm.keys import plain
 
 #: Headings after which a bibliography or the like follows.
@@ -26,6 +27,7 @@ _BACK = re.compile(r"(?im)^\s*(?:\d+\.?\s*)?(?:referencias(?: bibliogr[aá]ficas
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+(?=[^a-zß-ÿ\s])|(?<=[。！？])|(?<=[㐀-鿿%\d][!?])|\n\s*\n|\n(?=[^a-zß-öø-ÿ\s])|(?<=[a-z]{3}\.)(?=[A-ZÀ-Þ¿¡])")
 _ENDED = re.compile(r"[.!?…。！？।؟][\"'”’»)」]*\s*$")
 _CJK = re.compile(r"[㐀-鿿]+")
+_NUMBER = re.compile(r"\d+")
 _ENTRY = re.compile(r"^[^.]{2,60}\(\d{4}[a-z]?\)\.?\s")
 
 
@@ -51,7 +53,8 @@ def subject_sentences(text: str) -> tuple[list[str], int]:
 
 
 def _spaced(sentence: str) -> str:
-    """Scripts without spaces as overlapping pairs of characters."""
+    """Without numbers, which are no subject; scripts without spaces as overlapping pairs of characters."""
+    sentence = _NUMBER.sub(" ", sentence)
     if sentence.isascii():
         return sentence
     return _CJK.sub(lambda m: " " + " ".join(m[0][k : k + 2] for k in range(len(m[0]) - 1)) + " ", sentence)
@@ -69,18 +72,28 @@ class SubjectModel:
     chain: np.ndarray  # a row an area in that order: weights of features, of labels before, and bias
     sources: dict[str, np.ndarray]
     beam: int = 8
+    #: Papers in which a smaller part of the running sentences bears a subject have none.
+    least_bearing: float = 0.33
+
+    def has_subject(self, scores: np.ndarray) -> bool:
+        """Whether enough of a document's running sentences bear a subject."""
+        sure = (scores.max(1) >= self.cutoff).sum() if len(scores) else 0
+        return bool(sure and sure >= self.least_bearing * len(scores))
 
     def sentence_scores(self, sentences: list[str]) -> np.ndarray:
         out = np.zeros((len(sentences), len(self.areas)))
         if not self.terms.size:
             return out
-        for i, codes in word_codes([_spaced(s) for s in sentences]):
-            codes = np.unique(codes)
+        for first, codes, bounds, _ in code_chunks([_spaced(s) for s in sentences]):
             at = np.searchsorted(self.terms, codes)
             at[at == self.terms.size] = 0
-            at = at[self.terms[at] == codes]
-            if at.size:
-                out[i] = self.weights[at].sum(0)
+            hit = np.flatnonzero(self.terms[at] == codes)
+            if hit.size:
+                # each term counts once a sentence
+                pairs = np.unique((np.searchsorted(bounds, hit, "right") - 1) * self.terms.size + at[hit])
+                owner, term = np.divmod(pairs, self.terms.size)
+                starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                out[first + owner[starts]] = np.add.reduceat(self.weights[term], starts)
         return out
 
     def features(self, scores: np.ndarray, other: int, source: str | None) -> np.ndarray:
@@ -95,18 +108,28 @@ class SubjectModel:
 
     def decode(self, x: np.ndarray) -> list[int]:
         """The most probable combination of labels, by beam search along the chain."""
-        m = x.size
-        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for step, area in enumerate(self.order):
-            w = self.chain[step]
-            base = float(x[[area, area + len(self.areas), area + 2 * len(self.areas)]] @ w[:3] + x[m - 4 :] @ w[3:7] + w[-1])
+        k, m = len(self.areas), x.size
+        order = np.array(self.order)
+        own = np.concatenate((x[order[:, None] + [0, k, 2 * k]], np.broadcast_to(x[m - 4 :], (k, 4))), 1)
+        base = ((own * self.chain[:, :7]).sum(1) + self.chain[:, -1]).tolist()
+        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]  # log-probability, steps labelled yes
+        for step in range(k):
+            row = self._rows()[step]
             grown = []
-            for logp, labels in beams:
-                z = base + sum(w[7 + j] for j, y in enumerate(labels) if y)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                grown += [(logp + np.log(p), (*labels, 1)), (logp + np.log(1 - p), (*labels, 0))]
-            beams = sorted(grown, key=lambda b: -b[0])[: self.beam]
-        return sorted(a for a, y in zip(self.order, beams[0][1]) if y)
+            for logp, given in beams:
+                z = max(-30.0, min(30.0, base[step] + sum([row[7 + j] for j in given])))
+                no = math.log1p(math.exp(z))
+                if z > -12:  # below, yes is less likely than 1e-5
+                    grown.append((logp + z - no, (*given, step)))
+                grown.append((logp - no, given))
+            grown.sort(key=lambda b: -b[0])
+            beams = grown[: self.beam]
+        return sorted(self.order[j] for j in beams[0][1])
+
+    def _rows(self) -> list[list[float]]:
+        if not hasattr(self, "_list"):
+            self._list = self.chain.tolist()
+        return self._list
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -143,10 +166,13 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
         model.chain[:, -1] = -30
         return model
     rows, cols = [], []
-    for i, codes in word_codes([_spaced(s) for s in sentences]):
-        codes = np.unique(codes)
-        rows.append(np.full(codes.size, i))
-        cols.append(codes)
+    for first, codes, bounds, _ in code_chunks([_spaced(s) for s in sentences]):
+        owner_ = first + np.searchsorted(bounds, np.arange(codes.size), "right") - 1
+        order = np.lexsort((codes, owner_))
+        codes, owner_ = codes[order], owner_[order]
+        new = np.concatenate(([True], (codes[1:] != codes[:-1]) | (owner_[1:] != owner_[:-1]))) if codes.size else np.zeros(0, bool)
+        rows.append(owner_[new])
+        cols.append(codes[new])
     rows, codes = np.concatenate(rows), np.concatenate(cols)
     terms, cols = np.unique(codes, return_inverse=True)
     allowed = np.concatenate((y[owner], np.ones((owner.size, 1))), 1)  # the last class is none
@@ -176,7 +202,10 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
     part = (area_mass + 0.02) / (n[:, None] + 0.02 * (k + 1) + 0.3)
     base = np.clip(total[:k] / total.sum(), 1e-6, 0.9)
     weight = np.log(part / base) / np.log(1 / base)  # 1: the term stands in this area only
-    keep = (n >= 2) & (part.max(1) >= 0.5)
+    # a term must stand in several documents, or the names of persons and places would count
+    held = np.unique(np.stack((cols, owner[rows]), 1), axis=0)[:, 0]
+    several = np.bincount(held, minlength=terms.size) >= 2 + len(texts) // (200 * max(k, 1))
+    keep = several & (part.max(1) >= 0.5)
     model.terms, model.weights = terms[keep], np.clip(weight[keep], -1, 1)
     counts = y.sum(0)
     model.order = [int(i) for i in np.argsort(-counts, kind="stable")]
@@ -249,14 +278,14 @@ def subject_areas(documents: DataFrame, model: SubjectModel) -> DataFrame:
         for batch in batches:
             ids, texts, sources = (batch.column(k).to_pylist() for k in range(3))
             out: list[tuple] = []
-            for at in range(0, len(ids), 200):
-                parts = [subject_sentences(t or "") for t in texts[at : at + 200]]
+            for at in range(0, len(ids), 1000):
+                parts = [subject_sentences(t or "") for t in texts[at : at + 1000]]
                 flat = [s for got, _ in parts for s in got]
                 scores = m.sentence_scores(flat)
                 lo = 0
                 for i, (got, other) in enumerate(parts, at):
                     mine, lo = scores[lo : lo + len(got)], lo + len(got)
-                    if len(got) and mine.max() >= m.cutoff:
+                    if m.has_subject(mine):
                         x = m.features(mine, other, sources[i])
                         sure = int((mine.max(1) >= m.cutoff).sum())
                         out += [(ids[i], m.areas[a], float(x[a]), sure) for a in m.decode(x)]
