@@ -26,7 +26,7 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> Data
     total = df.agg(F.count("*").alias("_t"))
     k = F.greatest(F.lit(1), F.rint(n * F.col("_g") / F.col("_t"))).cast("int")
     r = F.row_number().over(Window.partitionBy(stratum).orderBy(*draw_order(seed, key)))
-    rows = df.withColumn("_r", r).join(F.broadcast(sizes), stratum).join(F.broadcast(total)).withColumn("_late", (F.col("_r") > k).cast("int"))
+    rows = df.withColumn("_r", r).join(sizes, stratum).join(F.broadcast(total)).withColumn("_late", (F.col("_r") > k).cast("int"))
     return rows.orderBy("_late", *draw_order(seed, key)).limit(n).drop("_g", "_t", "_r", "_late")
 
 

@@ -56,7 +56,7 @@ def win_head_per_class(spark, d):
     rows = seg(spark, d, "t1_label", "low_confidence")
     have = rows.filter("not low_confidence").groupBy("t1_label").agg(F.count("*").alias("n"))
     rest = rows.filter("low_confidence").withColumn("k", F.row_number().over(_w("t1_label", order=["seg_id"])))
-    return rest.join(F.broadcast(have), "t1_label", "left").filter(F.col("k") <= 460 - F.coalesce("n", F.lit(0))).select("seg_id", "t1_label")
+    return rest.join(have, "t1_label", "left").filter(F.col("k") <= 460 - F.coalesce("n", F.lit(0))).select("seg_id", "t1_label")
 
 
 @query("win_page", "SELECT seg_id, ceil((seg_index + 1) / 6.0)::INT AS page FROM {SEG}")
