@@ -24,6 +24,12 @@ def many(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64), bounds
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, in order; sorting is several times as fast here as ``numpy.unique``, which hashes."""
+    v = np.sort(values)
+    return v[np.concatenate(([True], v[1:] != v[:-1]))] if v.size else v
+
+
 def grams(codes: bytes | np.ndarray, width: int) -> np.ndarray:
     """32-bit hashes of the runs of ``width`` words, in order; a shorter text is one run."""
     c = np.frombuffer(codes, np.uint32) if isinstance(codes, bytes) else codes
@@ -32,7 +38,7 @@ def grams(codes: bytes | np.ndarray, width: int) -> np.ndarray:
 
 def gram_set(codes: bytes | np.ndarray, width: int) -> np.ndarray:
     """The same as a sorted set."""
-    return np.unique(grams(codes, width))
+    return distinct(grams(codes, width))
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_words: int, latin_only: bool, tag: Column | None = None) -> DataFrame:
@@ -54,7 +60,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_word
                 if latin_only:
                     fit &= latin
                 runs, owner = shingles_of_many(short.astype(np.uint64), bounds, width)
-                pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | runs >> np.uint64(32))
+                pairs = distinct(owner.astype(np.uint64) << np.uint64(32) | runs >> np.uint64(32))
                 owner, found = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
                 counts = np.bincount(owner, minlength=sizes.size)
                 hashes = np.zeros(sizes.size, np.uint64)

@@ -186,6 +186,19 @@ def jaccard_pairs(rows, width=3, threshold=0.6, least=30):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
 
 
+def family(n, kind="replace", seed=11):
+    """n texts edited from one, each in its own places and with its own words."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for j, at in enumerate(sorted(rng.sample(range(0, 290, 4), rng.randrange(6, 13)), reverse=True)):
+            w[at : at + (kind == "replace")] = [f"own{k}x{j}"]
+        out.append((k, " ".join(w)))
+    return out
+
+
 def test_near_duplicates_against_brute_force(spark):
     rows = corpus()
     members, links = neardup.near_duplicate_groups(fragments(spark, rows), "fragment_id", "text", width=3, threshold=0.6, min_words=30, latin_only=True)
@@ -209,6 +222,16 @@ def test_overlaps_against_brute_force(spark):
     assert all(0.5 < r["coverage"] <= 1 for r in found.collect())
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert"])
+def test_overlaps_of_a_family(spark, kind):
+    rows = family(120, kind)
+    tag = F.when(F.col("fragment_id") % 4 == 0, "eval").otherwise("train")
+    members, found = overlap.cross_split_overlaps(fragments(spark, rows), "fragment_id", "text", tag, width=3, threshold=0.6, min_words=30)
+    got = {(r["eval_id"], r["train_id"]) for r in overlap.overlap_pairs(members, found).collect()}
+    want = {(a, b) if a % 4 == 0 else (b, a) for a, b in jaccard_pairs(rows) if (a % 4 == 0) != (b % 4 == 0)}
+    assert len(want) > 500 and got == want
+
+
 def test_signatures_find_similar_sets():
     rng = np.random.default_rng(0)
     missed = 0
