@@ -9,14 +9,15 @@ group makes a signature, so that two texts that differ in at most ``k2`` partiti
 coefficient of 0.6, two sets of 290 three-word shingles may differ in 145 of them, so partitions would
 hold two features each or none, and the text would need 400 signatures, many of them shared by half of
 the corpus.  The feature domain here is therefore that of minima: one feature for each of
-``n1 * n2`` hash functions, its value the smallest hash among the text's runs of ``reach`` words.  All
-texts then have equally many features, and two texts agree in each with the probability of their
-similarity in runs.  Everyday runs are thinned out by a rule that depends on the run alone (its count
-over the corpus, in a sketch of fixed size), so that their number does not grow with the corpus.
-
-*Certainty.*  With n1 = 9, n2 = 4, k2 = 2, a pair with a share q of common rare runs is missed with
-probability (1 - P(at least 2 of 4 agree))**9: 1e-5 at q = 0.52, 9e-4 at 0.41, the least that a Jaccard
-coefficient of 0.6 in three-word shingles allows.  Candidates are then verified on the whole sets.
+``n1 * n2`` hash functions, its value the smallest hash among all shingles of the text.  All texts then
+have equally many features, and two texts agree in each with the probability of their Jaccard
+coefficient, whatever kind of edits parts them.  No shingle is left out, however common it is, so that
+the texts of a family meet whatever its size.
+
+*Certainty.*  With n1 = 40, n2 = 3, k2 = 0, a pair of coefficient J is missed with probability
+(1 - J**3)**40: 6e-5 at 0.6, 7e-6 at 0.63, 6e-11 at 0.76.  Texts that share a signature by everyday wording only are
+told apart by one bit of each feature, then by one byte of 60 of them: at a coefficient of at least the
+threshold, fewer agree than asked for with probability 1e-5 each.  Candidates are then verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -30,24 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions.wordcodes import mix, shingles_of_many
-from lectern.llm.text_sets import gram_set, many, shingle_sets, sketch_of_sets
+from lectern.llm.text_sets import gram_set, many, shingle_sets
 from lectern.runtime import materialize
 
 _PAIR = "set_a long, set_b long"
-_ENTRY = np.dtype([("sig", "<u8"), ("n", "<u4"), ("set", "<i8")])
-N1, N2, K2, REACH = 9, 4, 2, 5
-#: Runs that stand in more texts than this are thinned to as many on average.
-COMMON, SKETCH_BITS = 16, 22
-#: Texts that thinning leaves with fewer runs than this are signed without thinning, too.
-FEW = 20
-
-
-def thinned(runs: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Which runs take part: all rare ones, of the common ones those whose hash lets them."""
-    level = levels[(runs >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    with np.errstate(over="ignore"):
-        luck = (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return luck >> (24 - np.minimum(level, 24)).astype(np.uint64) == 0
+_ENTRY = np.dtype([("sig", "<u4"), ("set", "<i8"), ("bits", "<u8", 2)])
+N1, N2, K2 = 40, 3, 0
+#: Features of a pair that are compared before its sets are.
+ALIKE = 60
+#: Texts that make a bucket, and pairs that are compared at once.
+TEXTS_A_BUCKET, PAIRS_AT_ONCE = 25_000, 500_000
 
 
 def _slots() -> np.ndarray:
@@ -58,61 +51,75 @@ def _slots() -> np.ndarray:
 _PICKS = np.array(list(combinations(range(N2), N2 - K2)))
 
 
-def partenum(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The signatures of texts, a row each: N1 * C(N2, N2 - K2) 64-bit values.  starts: where each text's runs begin."""
+def features(runs: np.ndarray, starts: np.ndarray, n: int = N1 * N2) -> np.ndarray:
+    """The first n minima of texts, a row each.  starts: where each text's runs begin."""
     with np.errstate(over="ignore"):
-        minima = np.empty((starts.size, N1 * N2), np.uint64)
-        for j, slot in enumerate(_slots()):
+        minima = np.empty((starts.size, n), np.uint64)
+        for j, slot in enumerate(_slots()[:n]):
             minima[:, j] = np.minimum.reduceat(runs * slot >> np.uint64(24), starts)
-        minima = minima.reshape(starts.size, N1, N2)
+    return minima
+
+
+def signatures(minima: np.ndarray) -> np.ndarray:
+    """N1 * C(N2, N2 - K2) 64-bit values a row."""
+    minima = minima.reshape(-1, N1, N2)
+    with np.errstate(over="ignore"):
         h = np.arange(N1, dtype=np.uint64)[:, None] * np.uint64(64) + np.arange(len(_PICKS), dtype=np.uint64)
-        h = np.broadcast_to(h, (starts.size, *h.shape))
+        h = np.broadcast_to(h, (len(minima), *h.shape))
         for c in range(N2 - K2):
             h = mix(h * np.uint64(0x100000001B3) + minima[:, :, _PICKS[:, c]])
-    return h.reshape(starts.size, -1)
+    return h.reshape(len(minima), -1)
 
 
-def _signatures(levels, buckets: int):
+def partenum(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The signatures of texts, a row each."""
+    return signatures(features(runs, starts))
+
+
+def bits(minima: np.ndarray) -> np.ndarray:
+    """One bit of each feature, in two words."""
+    some = np.zeros((len(minima), 128), np.uint8)
+    some[:, : N1 * N2] = mix(minima) & np.uint64(1)
+    return np.packbits(some, axis=1).view(np.uint64)
+
+
+def bits_apart(threshold: float) -> int:
+    """In how many bits two texts of Jaccard >= threshold differ at most, but for one pair in 100,000."""
+    n, p = N1 * N2, (1 - threshold) / 2
+    return int(n * p + 4.3 * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def _signatures(width: int, buckets: int):
     """Packs the signatures of a task's sets, one row a bucket, so that the shuffle moves few rows."""
 
-    def sign(keys: list[int], sizes: list[int], blobs: list[bytes]) -> np.ndarray:
-        key, size = np.array(keys, np.int64), np.array(sizes, np.uint32)
-        runs, owner = shingles_of_many(*many(blobs), REACH)
-        rare = thinned(runs, levels.value)
-        left = np.bincount(owner[rare], minlength=key.size)
-        out = []
-        for take in (rare, (left < FEW)[owner]):
-            some, whose = runs[take], owner[take]
-            if some.size:
-                starts = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-                signs = partenum(some, starts)
-                entry = np.empty(signs.size, _ENTRY)
-                who = np.repeat(whose[starts], signs.shape[1])
-                entry["sig"], entry["set"], entry["n"] = signs.ravel(), key[who], size[who]
-                out.append(entry)
-        return np.concatenate(out) if out else np.empty(0, _ENTRY)
+    def sign(keys: list[int], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.array(keys, np.int64)
+        runs, owner = shingles_of_many(*many(blobs), width)
+        minima = features(runs, np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))))
+        signs = signatures(minima)
+        entry = np.empty(signs.shape, _ENTRY)
+        entry["sig"], entry["set"], entry["bits"] = signs & np.uint64(0xFFFFFFFF), key[:, None], bits(minima)[:, None]
+        return entry.ravel(), ((signs >> np.uint64(32)) % np.uint64(buckets)).ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, blobs, parts, held = [], [], [], [], 0
-            for key, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            keys, blobs, parts, held = [], [], [], 0
+            for key, blob in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 if key in seen:
                     continue
                 seen.add(key)
                 keys.append(key)
-                sizes.append(n)
                 blobs.append(blob)
                 held += len(blob)
                 if held > 1_000_000:
-                    parts.append(sign(keys, sizes, blobs))
-                    keys, sizes, blobs, held = [], [], [], 0
+                    parts.append(sign(keys, blobs))
+                    keys, blobs, held = [], [], 0
             if keys:
-                parts.append(sign(keys, sizes, blobs))
+                parts.append(sign(keys, blobs))
             if not parts:
                 continue
-            entry = np.concatenate(parts)
-            bucket = (entry["sig"] >> np.uint64(20)) % np.uint64(buckets)
+            entry, bucket = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint64), kind="stable")
             entry, ends = entry[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             filled = [k for k in range(buckets) if ends[k] < ends[k + 1]]
@@ -122,25 +129,28 @@ def _signatures(levels, buckets: int):
 
 
 def _meet(threshold: float):
-    """Pairs of sets that share a signature and may be near by size."""
+    """Pairs of sets that share a signature and may be near by their bits."""
+    most = bits_apart(threshold)
 
     def pairs(entry: np.ndarray) -> Iterator[np.ndarray]:
         entry = entry[np.lexsort((entry["set"], entry["sig"]))]
-        same = (entry["sig"][1:] == entry["sig"][:-1]) & (entry["set"][1:] == entry["set"][:-1])
-        entry = entry[np.concatenate(([True], ~same))]
-        edge = np.flatnonzero(entry["sig"][1:] != entry["sig"][:-1]) + 1
-        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [entry.size]))
-        many = ends - starts > 1
-        starts, sizes = starts[many], (ends - starts)[many]
+        sig, sets, word = (np.ascontiguousarray(entry[c]) for c in ("sig", "set", "bits"))
+        one, two = np.ascontiguousarray(word[:, 0]), np.ascontiguousarray(word[:, 1])
+        edge = np.flatnonzero(sig[1:] != sig[:-1]) + 1
+        starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [sig.size]))
+        several = ends - starts > 1
+        starts, sizes = starts[several], (ends - starts)[several]
         d = 1
         while starts.size:
-            # each member against the one d places on, in all groups at once
-            left = np.concatenate([np.arange(s, s + n - d) for s, n in zip(starts.tolist(), sizes.tolist())])
-            a, b = entry[left], entry[left + d]
-            small, large = np.minimum(a["n"], b["n"]), np.maximum(a["n"], b["n"])
-            ok = small >= threshold * large - 1e-9
-            if ok.any():
-                yield np.stack((np.minimum(a["set"][ok], b["set"][ok]), np.maximum(a["set"][ok], b["set"][ok])), 1)
+            # each member against the one d places on, in many groups at once
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes - d) // PAIRS_AT_ONCE)) + 1
+            for s, n in zip(np.split(starts, cut), np.split(sizes - d, cut)):
+                a = np.arange(int(n.sum())) + np.repeat(s - np.cumsum(n) + n, n)
+                b = a + d
+                near = np.bitwise_count(one[a] ^ one[b]) + np.bitwise_count(two[a] ^ two[b]) <= most
+                a, b = sets[a[near]], sets[b[near]]
+                if (a != b).any():
+                    yield np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b]
             d += 1
             keep = sizes > d
             starts, sizes = starts[keep], sizes[keep]
@@ -191,6 +201,39 @@ def _verify(threshold: float):
     return run
 
 
+def _alike(threshold: float):
+    """Keeps the pairs of which as many features agree as those of nearly all pairs (99,999 in 100,000) above the threshold."""
+    least = int(ALIKE * threshold - 4.3 * (ALIKE * threshold * (1 - threshold)) ** 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, ALIKE) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array((x == y).sum(1) >= least)).columns[:2], names=["set_a", "set_b"])
+
+    return run
+
+
+def alike_pairs(candidates: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The candidate pairs whose features agree, a byte each, so that whole sets travel for few pairs.
+
+    candidates is read twice: give a written table.
+    """
+    wanted = candidates.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct()
+
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                runs, owner = shingles_of_many(*many(batch.column(1).to_pylist()), width)
+                minima = features(runs, np.searchsorted(owner, np.arange(batch.num_rows)), ALIKE)
+                packed = [x.tobytes() for x in (mix(minima) & np.uint64(255)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["set_id", "codes"])
+
+    one = sets.join(wanted, "set_id", "left_semi").mapInArrow(bytes_of, "set_id long, codes binary")
+    kept = materialize(one.groupBy("set_id").agg(F.first("codes").alias("codes")), "neardup-features")
+    both = candidates.join(kept.toDF("set_a", "codes_a"), "set_a").join(kept.toDF("set_b", "codes_b"), "set_b")
+    return both.select("set_a", "set_b", "codes_a", "codes_b").mapInArrow(_alike(threshold), _PAIR)
+
+
 def verify_pairs(candidates: DataFrame, sets: DataFrame, width: int, threshold: float) -> DataFrame:
     """The candidate pairs (set_a, set_b) whose sets (set_id, codes) have Jaccard >= threshold.
 
@@ -216,16 +259,13 @@ def near_sets(sets: DataFrame, width: int, threshold: float) -> DataFrame:
     ``sets`` has the columns of ``shingle_sets`` and is read several times: give a written table.
     """
     spark = sets.sparkSession
-    filled = sets.filter("codes is not null").select("set_id", "n", "codes")
-    counts = sketch_of_sets(sets, REACH, SKETCH_BITS)
-    # by how many powers of two a bucket's runs are thinned; a few bits a bucket
-    levels = np.ceil(np.log2(np.maximum(counts / COMMON, 1))).astype(np.uint8)
+    filled = sets.filter("codes is not null").select("set_id", "codes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, int(counts.sum(dtype=np.int64)) // 4_000_000 + 1)
-    shared = spark.sparkContext.broadcast(levels)
-    packed = filled.mapInArrow(_signatures(shared, buckets), "bucket int, entries binary")
+    buckets = max(parts, filled.count() // TEXTS_A_BUCKET + 1)
+    packed = filled.mapInArrow(_signatures(width, buckets), "bucket int, entries binary")
     met = packed.repartition(buckets, "bucket").mapInArrow(_meet(threshold), _PAIR).distinct()
-    return verify_pairs(materialize(met, "neardup-candidates"), filled, width, threshold)
+    alike = alike_pairs(materialize(met, "neardup-candidates"), filled, width, threshold)
+    return verify_pairs(materialize(alike, "neardup-alike"), filled, width, threshold)
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, min_words: int = 1, latin_only: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -207,6 +207,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert members.count() == len({i for i, t in rows if t and len(t.split()) >= 30})
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert"])
+def test_near_duplicates_of_a_family(spark, kind):
+    rows = family(120, kind)
+    members, links = neardup.near_duplicate_groups(fragments(spark, rows), "fragment_id", "text", width=3, threshold=0.6, min_words=30, latin_only=True)
+    got, want = {tuple(r) for r in neardup.pairs_of_ids(members, links).collect()}, jaccard_pairs(rows)
+    assert len(want) > 1000 and got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     members, links = neardup.near_duplicate_groups(fragments(spark, []), "fragment_id", "text")
     assert members.count() == 0 and links.count() == 0
