@@ -240,6 +240,19 @@ def test_overlaps_of_a_family(spark, kind):
     assert len(want) > 500 and got == want
 
 
+def test_a_family_of_a_thousand(spark):
+    rows = family(1000, "insert", seed=12)
+    want = jaccard_pairs(rows)
+    near = {"width": 3, "threshold": 0.6, "min_words": 30}
+    members, links = neardup.near_duplicate_groups(fragments(spark, rows), "fragment_id", "text", **near)
+    got = {tuple(r) for r in neardup.pairs_of_ids(members, links).collect()}
+    assert len(want) > 100_000 and got <= want and len(want - got) <= 1e-4 * len(want)
+    tag = F.when(F.col("fragment_id") % 4 == 0, "eval").otherwise("train")
+    members, found = overlap.cross_split_overlaps(fragments(spark, rows), "fragment_id", "text", tag, **near)
+    got = {tuple(sorted((r["eval_id"], r["train_id"]))) for r in overlap.overlap_pairs(members, found).collect()}
+    assert got == {(a, b) for a, b in want if (a % 4 == 0) != (b % 4 == 0)}
+
+
 def test_signatures_find_similar_sets():
     rng = np.random.default_rng(0)
     missed = 0
