@@ -202,9 +202,9 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
     part = (area_mass + 0.02) / (n[:, None] + 0.02 * (k + 1) + 0.3)
     base = np.clip(total[:k] / total.sum(), 1e-6, 0.9)
     weight = np.log(part / base) / np.log(1 / base)  # 1: the term stands in this area only
-    # a term must stand in several documents, or the names of persons and places would count
+    # a term must stand in two documents, however many are labelled, or the names of persons and places would count
     held = np.unique(np.stack((cols, owner[rows]), 1), axis=0)[:, 0]
-    several = np.bincount(held, minlength=terms.size) >= 2 + len(texts) // (200 * max(k, 1))
+    several = np.bincount(held, minlength=terms.size) >= 2
     keep = several & (part.max(1) >= 0.5)
     model.terms, model.weights = terms[keep], np.clip(weight[keep], -1, 1)
     counts = y.sum(0)

@@ -351,6 +351,16 @@ def test_subjects_held_out():
     assert empty.sentence_scores(["x"]).max() < empty.cutoff
 
 
+def test_subject_terms_of_two_documents():
+    """They count among many labelled documents, too."""
+    labels = [["derecho"], ["fisica"], ["deporte"]] * 200
+    texts = ["Título\n" + f"En la zona el {y[0]}{k % 25} modifica el valor medido. " * 3 for k, y in enumerate(labels)]
+    for k in (1, 4):
+        texts[k] += "En la zona el sincrotronio modifica el valor medido."
+    model = subjects.fit(texts, [None] * 600, labels, ["deporte", "derecho", "fisica"])
+    assert model.sentence_scores(["El sincrotronio."]).max() > 0
+
+
 # words ----------------------------------------------------------------------------------------------
 def test_word_codes():
     texts = ["Él, ÁRBOL\n", "el arbol", None, "", "Straße 12", "第一 句话", "a" * 5000 + " el"]
