@@ -1,13 +1,14 @@
 """Where intermediate tables go, and how lineage is cut.
 
 Everything that is written between stages lies under the folder the cluster names in
-``spark.checkpoint.dir``, which all executors share; only where that setting is unset (tests
-on one machine) a temporary folder takes its place.
+``spark.checkpoint.dir``, which all executors share; only in local mode (tests on one machine) may that
+setting be missing, and a temporary folder takes its place.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _LOCAL:
         _LOCAL[key] = tempfile.mkdtemp(prefix="lectern-")
@@ -33,23 +36,45 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here.
 
-    The table survives the loss of any executor; it is removed with the application's
-    other intermediate tables by ``drop_materialized``.
+    The table survives the loss of any executor; ``release`` removes it once nothing reads it any more, and
+    what is left goes with the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
+    if not _OPEN:
+        atexit.register(_drop_all)
     _OPEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove tables written by ``materialize`` that no result still to be computed reads."""
+    for df in frames:
+        _delete(df.sparkSession, df._written_to)
+        _OPEN[:] = [x for x in _OPEN if x[1] != df._written_to]
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Remove the tables written by ``materialize`` that this session no longer needs."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for item in [x for x in _OPEN if x[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(conf).delete(path, True)
-        _OPEN.remove(item)
+    """Remove all tables of this session that are left: its results must have been read."""
+    for _, path in [x for x in _OPEN if x[0] is spark]:
+        _delete(spark, path)
+    _OPEN[:] = [x for x in _OPEN if x[0] is not spark]
+
+
+def _drop_all() -> None:
+    for spark in {id(x[0]): x[0] for x in _OPEN}.values():
+        try:
+            drop_materialized(spark)
+        except Exception:  # the application has ended before: its folder is the cluster's
+            pass
 
 
 def cores(spark: SparkSession) -> int:
