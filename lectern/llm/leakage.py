@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.functions.wordcodes import shingles, word_codes
+from lectern.llm.wordcodes import shingles, word_codes
 
 _BREAK = re.compile(r"(?<=[^\W\d_])(?:[-‐‑­¬][ \t]*\r?\n\s*|­)(?=[^\W\d_])")
 _HIDDEN = re.compile("[​‌‍⁠﻿]")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.functions.wordcodes import code_chunks
+from lectern.llm.wordcodes import code_chunks
 from lectern.llm.keys import plain
 
 #: Headings after which a bibliography or the like follows.

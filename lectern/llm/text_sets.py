@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lectern.functions.wordcodes import code_chunks, mix, shingles, shingles_of_many
+from lectern.llm.wordcodes import code_chunks, mix, shingles, shingles_of_many
 
 SET_SCHEMA = "id long, tag string, set_id long, n int, codes binary"
 
@@ -81,52 +81,3 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int, min_word
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.lit("") if tag is None else tag).alias("tag"), F.col(text_col).alias("text"))
     return rows.filter("id is not null and tag is not null and text is not null").mapInArrow(run, SET_SCHEMA)
-
-
-def sketch_of_sets(sets: DataFrame, width: int, bits: int) -> np.ndarray:
-    """How often the runs of ``width`` words of each of 2**bits buckets occur over all sets: of fixed size.
-
-    Every task adds its sets to one array; the arrays meet slice by slice in a shuffle, and the
-    driver receives 4 * 2**bits bytes, whatever the corpus.
-    """
-    size, slices = 1 << bits, 16
-    step = size // slices
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        part, held = [], 0
-
-        def flush() -> None:
-            nonlocal part, held
-            if part:
-                runs, _ = shingles_of_many(*many(part), width)
-                total[:] += np.bincount((runs >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
-            part, held = [], 0
-
-        some = False
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                some = True
-                part.append(blob)
-                held += len(blob)
-                if held > 16_000_000:
-                    flush()
-        flush()
-        if some:
-            parts = [total[k * step : (k + 1) * step].tobytes() for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(blob, np.uint32)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    parts = sets.select("codes").filter("codes is not null").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add, schema).collect()
-    out = np.zeros(size, np.uint32)
-    for row in parts:
-        out[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(bytes(row["counts"]), np.uint32)
-    return out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.wordcodes import word_codes
+from lectern.llm.wordcodes import word_codes
 from lectern.llm import garble, hash_budget, leakage, linked_splits, mixing, neardup, overlap, pieces, quota_sample, sentences, subjects
 from lectern.llm.keys import content_hash, plain, plain_doc
 
@@ -253,6 +253,37 @@ def test_a_family_of_a_thousand(spark):
     assert got == {(a, b) for a, b in want if (a % 4 == 0) != (b % 4 == 0)}
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert"])
+def test_hot_signatures_are_cut(spark, kind, monkeypatch):
+    rows = family(150, kind, seed=3)
+    monkeypatch.setattr(neardup, "HOT", 20)
+    monkeypatch.setattr(neardup, "COUNTED", 1)
+    monkeypatch.setattr(neardup, "PAIRS_A_CELL", 200)
+    members, links = neardup.near_duplicate_groups(fragments(spark, rows), "fragment_id", "text", width=3, threshold=0.6, min_words=30, latin_only=True)
+    assert {tuple(r) for r in neardup.pairs_of_ids(members, links).collect()} == jaccard_pairs(rows)
+
+
+def test_overlaps_in_many_shards(spark):
+    rows = corpus(seed=6) + [(10_000 + i, t) for i, t in family(40)]
+    tag = F.when(F.col("fragment_id") % 4 == 0, "eval").otherwise("train")
+    near = {"width": 3, "threshold": 0.6, "min_words": 30}
+    one, five = (overlap.cross_split_overlaps(fragments(spark, rows), "fragment_id", "text", tag, **near, a_shard=size)[1] for size in (10**7, 1000))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, five.collect())) and one.count() > 100
+
+
+def test_automaton_against_search():
+    rng = random.Random(4)
+    texts = [[rng.randrange(12) for _ in range(rng.randrange(0, 40))] for _ in range(30)]
+    flat = lambda ts: (np.array([w for t in ts for w in t], np.uint64), np.cumsum([0, *map(len, ts)]))
+    automaton = overlap.Automaton(*flat(texts[:10]), 3)
+    grams = lambda t: [tuple(t[k : k + 3]) for k in range(len(t) - 2)]
+    known = {g for t in texts[:10] for g in grams(t)}
+    text, passage = automaton.scan(*flat(texts[10:]))
+    assert automaton.passages == len(known)
+    assert text.tolist() == [i for i, t in enumerate(texts[10:]) for g in grams(t) if g in known]
+    assert len(set(passage.tolist())) == len({g for t in texts[10:] for g in grams(t)} & known)
+
+
 def test_signatures_find_similar_sets():
     rng = np.random.default_rng(0)
     missed = 0
