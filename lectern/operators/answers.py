@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
-from lectern.functions import lexicon
+from lectern.functions import lexicon, prompts
 
 #: Sections a model may name.
 SECTIONS = ["INTRO", "BACK", "METH", "RES", "DISC", "LIM", "CONC"]
@@ -72,11 +72,16 @@ def context_message(kind: str, name: Column, section: Column, zone: Column, mode
     return F.concat(*parts, F.lit(rest))
 
 
-def few_shot_prompts(rows: DataFrame, key: str, text: str, label: str, k: int, system: str) -> DataFrame:
-    """(key, prompt): a prompt of each row and the k - 1 before it, as examples."""
-    w = Window.orderBy(key).rowsBetween(-(k - 1), 0)
-    shot = F.concat(F.lit("Texto: "), F.left(F.col(text), F.lit(60)), F.lit("\nRespuesta: "), F.col(label))
-    return rows.select(key, F.concat(F.lit(system + "\n"), F.array_join(F.collect_list(shot).over(w), "\n")).alias("prompt"))
+def prompt(text: Column | str, task: str, examples: bool = True, as_json: bool = False, most: int | None = None) -> Column:
+    """array<struct<role, content>>: instruction, examples, and last the text in question, without its label.
+
+    task: ``section`` or ``yes_no``.  The examples are constants of the query, equal for all rows; most: characters of
+    the text that are asked (the whole text if none).
+    """
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    head, tail = prompts.QUESTION[task]
+    asked = F.concat(F.lit(head), _c(text) if most is None else F.left(_c(text), F.lit(most)), F.lit(tail))
+    return F.array(*[turn(role, F.lit(content)) for role, content in prompts.opening(task, examples, as_json)], turn("user", asked))
 
 
 def escape_html(text: Column | str) -> Column:

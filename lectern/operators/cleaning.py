@@ -129,19 +129,20 @@ def mask_count(text: Column | str) -> Column:
     return F.regexp_count(text, F.lit(r"\[MASK\]"))
 
 
-def truncate_around(text: Column | str, key: Column, anchors: list[str], above: int = 400, size: int = 240, jitter: int = 160, seed: int = 42) -> Column:
-    """Texts of more than ``above`` words as a window of size +- jitter words around the first anchor, or their head.
+def truncate_around(text: Column | str, key: Column, keywords: Column, size: int = 240, jitter: int = 160, least: int = 40, seed: int = 42) -> Column:
+    """Texts of more than size + jitter words as a window of size +- jitter words around a keyword, or their head.
 
-    The jitter comes from a hash of seed and key.  No window is longer than the text or shorter than 40 words.
+    The keyword is the first of the row's own, in their order, that stands in the text in any case; without one, or with a
+    null list, the window is the head.  The jitter comes from a hash of seed and key.  No window is longer than the text.
     """
     words = tx.words(text)
     n = F.size(words)
-    width = F.greatest(F.lit(40), F.least(n, size + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 * jitter + 1)).cast("int") - jitter))
+    width = F.least(n, F.greatest(F.lit(least), size + F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2 * jitter + 1)).cast("int") - jitter))
     low = F.lower(_c(text))
-    places = [F.when(F.instr(low, a) > 0, F.instr(low, a)) for a in anchors]
-    before = tx.word_count(F.left(low, F.coalesce(F.least(*places), F.lit(1)) - 1))
+    places = F.filter(F.transform(keywords, lambda k: F.position(F.lower(k), low)), lambda at: at > 0)
+    before = tx.word_count(F.left(low, F.coalesce(F.get(places, F.lit(0)), F.lit(1)) - 1))
     start = F.greatest(F.lit(0), F.least(before - F.floor(width / 2).cast("int"), n - width))
-    return F.when(n <= above, _c(text)).otherwise(F.array_join(F.slice(words, start + 1, width), " "))
+    return F.when(n <= size + jitter, _c(text)).otherwise(F.array_join(F.slice(words, start + 1, width), " "))
 
 
 def neutralize(text: Column | str, hits: Column | str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -63,6 +66,28 @@ def binary_macro_f1(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return s.select(((f("tp") + f("tn")) / 2).alias("macro_f1"))
 
 
+def binary_by(df: DataFrame, group: str, y: str, yhat: str) -> DataFrame:
+    """(group, n, f1, recall) of 0/1 predictions, 0 where a quotient has no denominator."""
+    t, p = F.col(y) == 1, F.col(yhat) == 1
+    s = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(t & p).alias("tp"), F.count_if(t != p).alias("wrong"), F.count_if(t).alias("pos"))
+    q = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return s.select(group, "n", q(2 * F.col("tp"), 2 * F.col("tp") + F.col("wrong")).alias("f1"), q(F.col("tp"), F.col("pos")).alias("recall"))
+
+
+def ablation(df: DataFrame, y: str, arms: dict[str, Column], base: str, predict: Callable[[Column], Column]) -> DataFrame:
+    """(arm, macro_f1, drop_f1, verdict) of every arm but the base: what the prediction loses when its input is changed.
+
+    arms: name to the input in place of the text; predict: the 0/1 prediction of an input.  A drop above 0.2 means that
+    the content decides, above 0.05 both, else a shortcut does.
+    """
+    scored = [binary_macro_f1(df.withColumn("_p", predict(x)), y, "_p").select(F.lit(n).alias("arm"), "macro_f1") for n, x in arms.items()]
+    rows = reduce(DataFrame.unionByName, scored)
+    whole = rows.filter(F.col("arm") == base).select(F.col("macro_f1").alias("_whole"))
+    drop = F.col("_whole") - F.col("macro_f1")
+    out = rows.filter(F.col("arm") != base).join(F.broadcast(whole))
+    return out.select("arm", F.round("macro_f1", 6).alias("macro_f1"), F.round(drop, 6).alias("drop_f1"), F.when(drop > 0.2, "content").when(drop > 0.05, "mixed").otherwise("shortcut").alias("verdict"))
+
+
 def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: Sequence[float], tolerance: float = 1e-4) -> DataFrame:
     """best_f1 (macro), the threshold nearest to 0.5 among those within tolerance of it, and their range.
 
@@ -102,18 +127,24 @@ def ranking_scores(df: DataFrame, y: str, p: str) -> DataFrame:
     return c.agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum(neg)).alias("auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("average_precision"))
 
 
-def bootstrap_f1(df: DataFrame, key: str, y: str, yhat: str, rounds: int, seed: int) -> DataFrame:
-    """(samples, mean, std, low, high) of the F1 of resamples with replacement, those of one class left out.
+def bootstrap_f1(df: DataFrame, y: str, yhat: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(samples, mean, std, low, high) of the macro-F1 of resamples with replacement, those of one actual class left out.
 
-    The row that a draw takes is the first 32 bits of an MD5 over seed, round and draw, so that any engine
-    gives the same; rows are numbered by key.  Draws are counted by row before they meet the labels.
+    The score depends on the four counts of the confusion table only, and those of a resample follow a multinomial
+    distribution over them: the rows are counted once, and every round draws four numbers, however many rows there are.
     """
-    rows = df.select(F.row_number().over(Window.orderBy(key)).alias("j"), F.col(y).alias("y"), F.col(yhat).alias("yhat")).withColumn("j", F.col("j") - 1)
-    size = rows.agg(F.count("*").alias("n"))
-    draws = size.select("n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    word = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b"), F.col("i"))), 1, 8), 16, 10).cast("long")
-    times = draws.select("b", F.pmod(word, F.col("n")).alias("j")).groupBy("b", "j").agg(F.count("*").alias("w"))
-    hit = times.join(rows, "j")
-    s = hit.groupBy("b").agg(F.sum(F.col("w") * F.col("y") * F.col("yhat")).alias("tp"), F.sum(F.col("w") * (F.col("y") != F.col("yhat")).cast("int")).alias("wrong"), F.countDistinct("y").alias("classes")).filter("classes = 2")
-    f1 = s.select((2 * F.col("tp") / (2 * F.col("tp") + F.col("wrong"))).alias("f1"))
+    cells = df.agg(*[F.count_if((F.col(y) == a) & (F.col(yhat) == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for b, *n in pdf[["id", "tp", "fn", "fp", "tn"]].itertuples(index=False, name=None):
+                if sum(n):
+                    out.append((b, *np.random.default_rng([seed, b]).multinomial(sum(n), np.array(n) / sum(n)).tolist()))
+            yield pd.DataFrame(out, columns=["id", "tp", "fn", "fp", "tn"])
+
+    drawn = df.sparkSession.range(rounds).join(F.broadcast(cells)).mapInPandas(run, "id long, tp long, fn long, fp long, tn long").filter("tp + fn > 0 and fp + tn > 0")
+    wrong = F.col("fn") + F.col("fp")
+    f = lambda c: F.coalesce(F.try_divide(2 * F.col(c), 2 * F.col(c) + wrong), F.lit(0.0))
+    f1 = drawn.select(((f("tp") + f("tn")) / 2).alias("f1"))
     return f1.agg(F.count("*").alias("samples"), F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"), F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))

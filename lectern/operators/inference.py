@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.functions import lexicon
+from lectern.functions import lexicon, prompts
 
 
 class Model(Protocol):
@@ -82,25 +85,32 @@ class Client(Protocol):
 
 
 class EchoClient:
-    """A client without a network: answers by the markers of the text."""
+    """A client without a network: answers by the markers of the text in question, the last turn of the prompt."""
 
     def __init__(self) -> None:
         self._section = [(k, re.compile(p, re.I)) for k, p in lexicon.T1_PATTERNS.items() if k != "CONTR"]
         self._contribution = re.compile(lexicon.T2_PATTERN, re.I)
 
     def complete(self, prompt: str) -> str:
-        if prompt.startswith("SI/NO"):
-            return "SI" if self._contribution.search(prompt) else "NO"
-        counts = [(len(p.findall(prompt)), k) for k, p in self._section]
+        turns = json.loads(prompt)
+        asked = turns[-1]["content"]
+        if turns[0]["content"].startswith(prompts.CONTRIBUTION_INSTRUCTION[:40]):
+            return "SI" if self._contribution.search(asked) else "NO"
+        counts = [(len(p.findall(asked)), k) for k, p in self._section]
         best = max(counts, key=lambda x: x[0])
         return best[1] if best[0] else "no sé"
 
 
-def ask(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Client], task: str, *, most: int = 4000, retries: int = 3, wait: float = 1.0) -> DataFrame:
+#: Characters that are asked of a text, by task; sections are asked whole.
+MOST = {"yes_no": 4000, "section": None}
+
+
+def ask(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Client], task: str, *, examples: bool = True, retries: int = 3, wait: float = 1.0, longest_wait: float = 60.0, at_once: int = 1) -> DataFrame:
     """(id, raw_answer, label, confidence) of each text.  task: ``section`` or ``yes_no``.
 
-    At most ``most`` characters are asked.  An error is tried again after wait * 2**k seconds; after
-    ``retries`` the answer is ERROR.  The confidence is 1.0, or 0.5 for UNKNOWN and ERROR.
+    The client is given the prompt as a JSON list of turns.  An error is tried again after wait * 2**k seconds (at most
+    longest_wait); after ``retries`` the answer is ERROR.  at_once: prompts of a task that are under way together.
+    A null text is asked as an empty one.  The confidence is 1.0, or 0.5 for UNKNOWN and ERROR.
     """
     from lectern.operators import answers
 
@@ -109,23 +119,71 @@ def ask(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Client], t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make()
 
-        def one(text: str) -> str:
+        def one(prompt: str) -> str:
             for k in range(retries):
                 try:
-                    return client.complete(("SI/NO\n" if task == "yes_no" else "SECCION\n") + text[:most])
+                    return client.complete(prompt)
                 except Exception:
                     if k + 1 < retries:
-                        time.sleep(wait * 2**k)
+                        time.sleep(min(wait * 2**k, longest_wait))
             return "ERROR"
 
-        for rows in batches:
-            got = [one(t or "") for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(got, pa.string())], names=[id_col, "raw_answer"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for rows in batches:
+                got = list(pool.map(one, rows.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(got, pa.string())], names=[id_col, "raw_answer"])
 
-    out = df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, raw_answer string")
+    prompt = F.to_json(answers.prompt(F.coalesce(F.col(text_col), F.lit("")), task, examples, most=MOST[task]))
+    out = df.select(id_col, prompt.alias("prompt")).mapInArrow(run, f"{id_col} {kind}, raw_answer string")
     failed = F.col("raw_answer") == "ERROR"
     if task == "yes_no":
         label = F.when(failed, "ERROR").when(answers.yes_no("raw_answer") == 1, "ES_CONTRIBUCION").otherwise("NO_ES_CONTRIBUCION")
     else:
         label = F.when(failed, "ERROR").otherwise(answers.section_label("raw_answer"))
     return out.withColumn("label", label).withColumn("confidence", F.when(F.col("label").isin("UNKNOWN", "ERROR"), 0.5).otherwise(1.0))
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A model of the catalog.  needs: a file with its weights, or the name of an environment variable with its key."""
+
+    model_id: str
+    name: str
+    family: str
+    weights: str | None = None
+    key: str | None = None
+
+    @property
+    def available(self) -> bool:
+        if self.family == "heuristic":
+            return True
+        return bool(self.weights and os.path.exists(self.weights)) or bool(self.key and os.environ.get(self.key))
+
+
+def resolve(model_id: str, catalog: Sequence[Entry]) -> tuple[Entry, str, str]:
+    """(entry, family that will answer, name to show): what is not available is answered by the rules, and its name says so.
+
+    A model that the catalog doesn't have is a KeyError.
+    """
+    entry = next((e for e in catalog if e.model_id == model_id), None)
+    if entry is None:
+        raise KeyError(f"no model {model_id}")
+    if entry.available:
+        return entry, entry.family, entry.name
+    return entry, "heuristic", entry.name + " [fallback heuristico]"
+
+
+def with_fallback(df: DataFrame, model_id: str, catalog: Sequence[Entry], answer: Callable[[DataFrame], DataFrame], rules: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers of a model, or of the rules where it isn't available, with ``used_mode`` and ``used_name``.
+
+    The choice is made while the plan is built, so the plan of only one of both runs.  Rows the model answers with ERROR
+    (column label) get the label of the rules; rules must give (id, label, ...) with the same id.
+    """
+    entry, mode, name = resolve(model_id, catalog)
+    if mode != entry.family or mode == "heuristic":
+        return rules(df).withColumns({"used_mode": F.lit("heuristic"), "used_name": F.lit(name)})
+    out, other = answer(df), rules(df)
+    key = out.columns[0]
+    failed = F.col("label") == "ERROR"
+    joined = out.join(other.select(key, F.col("label").alias("_rule")), key, "left")
+    return joined.withColumns({"used_mode": F.when(failed, "heuristic").otherwise(mode), "used_name": F.when(failed, name + " [fallback heuristico: error de inferencia]").otherwise(name), "label": F.when(failed, F.col("_rule")).otherwise(F.col("label"))}).drop("_rule")

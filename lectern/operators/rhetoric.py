@@ -78,7 +78,7 @@ def threshold_section(text: Column | str, thresholds: dict[str, int] | None = No
 def hits(text: Column | str, patterns: list[tuple[str, str]], flags: str = "(?uU)") -> Column:
     """array<struct<label, match>>: the first match of each pattern in lower case, at most 55 characters of it."""
     t = F.lower(_c(text))
-    each = [F.struct(F.lit(label).alias("label"), F.get(F.regexp_extract_all(t, F.lit(flags + p), F.lit(0)), F.lit(0)).alias("match")) for p, label in patterns]
+    each = [F.struct(F.lit(label).alias("label"), F.regexp_substr(t, F.lit(flags + p)).alias("match")) for p, label in patterns]
     return F.transform(F.filter(F.array(*each), lambda x: x["match"].isNotNull()), lambda x: F.struct(x["label"].alias("label"), F.substring(x["match"], 1, 55).alias("match")))
 
 

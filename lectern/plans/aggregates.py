@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from lectern.functions import lexicon, text as tx
 from lectern.operators import statistics as st
-from lectern.plans.registry import frg, query, seg
+from lectern.plans.registry import frg, log, query, seg
 from lectern.sources.tables import table
 
 
@@ -155,7 +156,7 @@ def agg_vocab_diff(spark, d):
     return _top_words(rows.filter("a1_label = 'ES_CONTRIBUCION'"), 200).select("word").subtract(_top_words(rows.filter("a1_label = 'NO_ES_CONTRIBUCION'"), 200).select("word"))
 
 
-EDGES = (0, 50, 100, 200, 300, 400, 2000)
+EDGES = (250, 300, 350, 400, 450, 500, 2000)
 _BIN = "CASE " + " ".join(f"WHEN word_count >= {a} AND word_count < {b} THEN '[{a},{b})'" for a, b in zip(EDGES, EDGES[1:])) + " END"
 
 
@@ -164,6 +165,12 @@ def agg_hist(spark, d):
     return frg(spark, d, "word_count", "a1_label").groupBy(st.bin_label("word_count", EDGES).alias("bin"), "a1_label").agg(F.count("*").alias("n"))
 
 
+@query("agg_cut", f"SELECT fragment_id, {_BIN} AS bin FROM {{FRG}}")
+def agg_cut(spark, d):
+    """The range of words of every fragment; none outside all ranges."""
+    return frg(spark, d, "word_count").select("fragment_id", st.bin_label("word_count", EDGES).alias("bin"))
+
+
 @query("agg_hist2d", """SELECT x, y, count(*) AS n FROM (SELECT least(floor(10 * (relative_pos - min(relative_pos) OVER ()) / nullif(max(relative_pos) OVER () - min(relative_pos) OVER (), 0)), 9)::INT AS x,
  least(floor(10 * (word_count - min(word_count) OVER ()) / nullif(max(word_count) OVER () - min(word_count) OVER (), 0)), 9)::INT AS y FROM {SEG} WHERE relative_pos IS NOT NULL AND word_count IS NOT NULL) GROUP BY ALL""")
 def agg_hist2d(spark, d):
@@ -184,11 +191,14 @@ def agg_density(spark, d):
 
 
 _NUM = ("word_count", "relative_pos", "score_explicit", "score_implicit", "char_start")
+_EIGHT = (*_NUM, "char_end", "n_explicit", "n_implicit")
 
 
-@query("agg_corr", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM {{FRG}}" for a in _NUM for b in _NUM))
+@query("agg_corr", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM (SELECT *, len(explicit_hits) AS n_explicit, len(implicit_hits) AS n_implicit FROM {{FRG}})" for a in _EIGHT for b in _EIGHT))
 def agg_corr(spark, d):
-    return st.correlations(frg(spark, d, *_NUM), _NUM).select("a", "b", _r("r").alias("r"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    rows = frg(spark, d, *_NUM, "char_end", "explicit_hits", "implicit_hits").withColumns({"n_explicit": size("explicit_hits"), "n_implicit": size("implicit_hits")})
+    return st.correlations(rows, _EIGHT).select("a", "b", _r("r").alias("r"))
 
 
 @query("agg_cohen_d", " UNION ALL ".join(f"""SELECT '{c}' AS feature, round(coalesce(abs(avg({c}) FILTER (p) - avg({c}) FILTER (NOT p)) / nullif(sqrt((stddev_samp({c}) FILTER (p) ** 2 + stddev_samp({c}) FILTER (NOT p) ** 2) / 2), 0), 0), 6) AS d
@@ -241,14 +251,19 @@ def agg_class_weights(spark, d):
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("all"), F.count("*").alias("k")))).select("t1_label", _r(F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
 
 
-_VOTES = ["score_explicit >= 0.35", "score_implicit >= 0.45", "score_implicit >= 0.30", "len(explicit_hits) > 0", "len(implicit_hits) >= 2", "lower(trim(tarea1_label)) = 'contr'"]
+_YES = "SELECT request_id, model_id, max((lower(trim(raw_answer)) ~ '^(si|sí|yes)')::INT) AS yes FROM {LOG} WHERE task = 'T2' AND request_id IS NOT NULL GROUP BY ALL"
+_KIND = "CASE WHEN votes = models THEN 'unanimous_yes' WHEN votes = 0 THEN 'unanimous_no' ELSE 'mixed' END"
 
 
-@query("agg_ensemble_votes", "SELECT votes, count(*) AS n, CASE votes WHEN 0 THEN 'unanimous_no' WHEN 6 THEN 'unanimous_yes' ELSE 'mixed' END AS kind FROM (SELECT " + " + ".join(f"coalesce(({v})::INT, 0)" for v in _VOTES) + " AS votes FROM {FRG}) GROUP BY votes")
+@query("agg_ensemble_votes", f"SELECT votes, models, {_KIND} AS kind, count(*) AS n, list_sort(list(request_id)) AS requests FROM (SELECT request_id, coalesce(sum(yes), 0)::BIGINT AS votes, count(*) AS models FROM ({_YES}) GROUP BY request_id) GROUP BY ALL")
 def agg_ensemble_votes(spark, d):
-    each = [F.coalesce(F.expr(v.replace("len(", "size(")).cast("int"), F.lit(0)) for v in _VOTES]
-    rows = frg(spark, d, "score_explicit", "score_implicit", "explicit_hits", "implicit_hits", "tarea1_label").select(sum(each[1:], each[0]).alias("votes"))
-    return rows.groupBy("votes").agg(F.count("*").alias("n")).withColumn("kind", F.when(F.col("votes") == 0, "unanimous_no").when(F.col("votes") == 6, "unanimous_yes").otherwise("mixed"))
+    """Requests by how many of the models that were asked said yes, with their ids."""
+    from lectern.operators.answers import yes_no
+
+    said = log(spark, d, "task", "request_id", "model_id", "raw_answer").filter("task = 'T2' and request_id is not null").groupBy("request_id", "model_id").agg(F.max(yes_no("raw_answer")).alias("yes"))
+    votes = said.groupBy("request_id").agg(F.sum("yes").alias("votes"), F.count("*").alias("models"))
+    kind = F.when(F.col("votes") == F.col("models"), "unanimous_yes").when(F.col("votes") == 0, "unanimous_no").otherwise("mixed")
+    return votes.groupBy("votes", "models", kind.alias("kind")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("request_id")).alias("requests"))
 
 
 @query("agg_largest_remainder", """WITH c AS (SELECT request_id, t1_label, 100.0 * n / sum(n) OVER (PARTITION BY request_id) AS p FROM (SELECT request_id, t1_label, count(*) AS n FROM {SEG} WHERE t1_label <> '' GROUP BY ALL)),
@@ -267,11 +282,16 @@ def agg_quick_stats(spark, d):
     return frg(spark, d, "contr_type", "word_count", "explicit_hits").groupBy(F.lower(F.trim("contr_type")).alias("kind")).agg(F.count("*").alias("n"), p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"), _r(F.avg(n)).alias("mean_hits"), _r(100.0 * F.avg(F.when(n > 0, 1).otherwise(0))).alias("pct_hit"))
 
 
-@query("agg_kw_overlap", """SELECT round(avg(CASE WHEN w IN ('mejora', 'permite', 'alcanza') THEN 1 ELSE 0 END), 6) AS share, count(*) AS n FROM (SELECT lower(unnest(implicit_hits).hit_text) AS w FROM {FRG})""")
+_KW = "|".join(sorted(lexicon.SOFT_MASK_KEYWORDS, key=lambda k: (-len(k), k)))
+
+
+@query("agg_kw_overlap", f"""SELECT round(avg(CASE WHEN regexp_full_match(w, '{_KW}') THEN 1 ELSE 0 END), 6) AS share, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '{tx.duck(lexicon.T1_PATTERNS["METH"])}'), lambda x: lower(x)))) AS w FROM {{FRG}})""")
 def agg_kw_overlap(spark, d):
-    soft = spark.createDataFrame([("mejora",), ("permite",), ("alcanza",)], "w string").withColumn("soft", F.lit(1))
-    hits = frg(spark, d, "implicit_hits").select(F.explode("implicit_hits.hit_text").alias("w")).select(F.lower("w").alias("w"))
-    return hits.join(F.broadcast(soft), "w", "left").agg(_r(F.avg(F.coalesce("soft", F.lit(0)))).alias("share"), F.count("*").alias("n"))
+    """The share of the keywords found in fragments that the soft mask knows."""
+    from lectern.plans.scalars import keywords
+
+    words = frg(spark, d, "text").select(F.explode(keywords("text")).alias("w"))
+    return words.agg(_r(F.avg(F.col("w").rlike(f"^(?u)({_KW})$").cast("int"))).alias("share"), F.count("*").alias("n"))
 
 
 @query("met_drift_flags", """WITH m AS (SELECT quantile_cont(word_count, 0.5) FILTER (lower(trim(split)) = 'train') AS a, quantile_cont(word_count, 0.5) FILTER (lower(trim(split)) = 'test') AS b,

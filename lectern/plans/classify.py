@@ -99,7 +99,7 @@ def cls_mine_corpus(spark, d):
     """The whole pipeline: documents cleaned, cut into fragments, scored and capped by document."""
     from pyspark.sql import Window
 
-    cut = mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", min_words=100, max_words=400)
+    cut = mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
     rows = cut.withColumn("x", rh.contribution_scores("text", "relative_pos", "section_hint")).select("doc_id", "idx", "text", "word_count", "char_start", "char_end", "relative_pos", "section_hint", "x.*")
     bucket = F.when(F.col("contr_type") == "none", "none").when(F.col("contr_type").isin("explicit", "implicit"), "contr").otherwise("weak")
     rows = rows.withColumn("bucket", bucket).withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("idx")))
@@ -108,12 +108,13 @@ def cls_mine_corpus(spark, d):
 
 @query("cls_autolabel")
 def cls_autolabel(spark, d):
-    """Formal documents cut into snippets, clean ones labelled by threshold, the best of each document and section."""
-    docs = table(spark, d, "documents", "doc_id", "text").filter(sg.is_formal("text") | (F.length("text") > 3000))
-    snippets = docs.select("doc_id", F.posexplode(sg.word_windows("text", 100, 350)).alias("idx", "snippet")).filter(sg.is_clean("snippet"))
-    rows = snippets.select("doc_id", "idx", "snippet", rh.threshold_section("snippet", {k: 1 for k in rh.SECTION_ORDER}).alias("s")).filter("s is not null")
-    best = F.max_by(F.struct("idx", "snippet"), F.struct(F.col("s.count"), -F.col("idx"))).alias("b")
-    return rows.groupBy("doc_id", F.col("s.label").alias("category")).agg(best, F.max("s.count").alias("regex_score")).select("doc_id", "category", "regex_score", "b.idx", "b.snippet")
+    """Formal documents without labels so far cut into snippets of 250 to 350 words, clean ones labelled by threshold, the best of each document and section.
+
+    Documents are taken in order until every section has 1,800 snippets; those after that are left out.
+    """
+    labelled = table(spark, d, "subject_labels", "doc_id").distinct()
+    docs = table(spark, d, "documents", "doc_id", "text").join(labelled, "doc_id", "left_anti").filter(sg.is_formal("text"))
+    return mining.labelled_snippets(docs, "doc_id", "text", 1800)
 
 
 @query("cls_encoder")
@@ -136,17 +137,42 @@ def cls_llm_t1(spark, d):
 
 @query("cls_llm_t2")
 def cls_llm_t2(spark, d):
-    """Yes or no by a language model behind the client interface, at most 4,000 characters asked."""
+    """Yes or no by a language model behind the client interface, at most 4,000 characters of a text asked."""
     return inference.ask(frg(spark, d, "text"), "fragment_id", "text", inference.EchoClient, "yes_no")
 
 
-@query("cls_llm_async", "SELECT model_id, count(*) AS calls, round(sum(length(raw_answer)), 6) AS chars, round(count(*) * 500 * 0.150 / 1e6 + sum(length(raw_answer)) * 0.25 * 0.600 / 1e6, 9) AS cost_usd FROM {LOG} WHERE model_id LIKE 'llm%' GROUP BY model_id")
+@query("cls_llm_async", "SELECT 1 AS calls_per_row, count(*) AS rows FROM {SEG}")
 def cls_llm_async(spark, d):
+    """Every segment asked with eight prompts of a task under way at once and up to five tries; here a client that answers by rule."""
+    out = inference.ask(seg(spark, d, "text"), "seg_id", "text", inference.EchoClient, "section", examples=False, retries=5, wait=2.0, at_once=8)
+    return out.filter("label <> 'ERROR'").agg(F.lit(1).alias("calls_per_row"), F.count("*").alias("rows"))
+
+
+@query("cls_llm_cost", "SELECT model_id, count(*) AS calls, round(sum(length(raw_answer)), 6) AS chars, round(count(*) * 500 * 0.150 / 1e6 + sum(length(raw_answer)) * 0.25 * 0.600 / 1e6, 9) AS cost_usd FROM {LOG} WHERE model_id LIKE 'llm%' GROUP BY model_id")
+def cls_llm_cost(spark, d):
     rows = log(spark, d, "model_id", "raw_answer").filter("model_id like 'llm%'")
     chars = F.sum(F.length("raw_answer"))
     return rows.groupBy("model_id").agg(F.count("*").alias("calls"), F.round(chars.cast("double"), 6).alias("chars"), F.round(F.count("*") * 500 * 0.150 / 1e6 + chars * 0.25 * 0.600 / 1e6, 9).alias("cost_usd"))
 
 
+CATALOG = (inference.Entry("heuristic", "Reglas", "heuristic"), inference.Entry("encoder", "Encoder", "encoder", weights="/no/weights"), inference.Entry("llm", "LLM", "llm_api", key="NO_SUCH_KEY"))
+
+
+@query("pred_catalog", "SELECT * FROM (VALUES ('heuristic', true, 'heuristic', 'Reglas'), ('encoder', false, 'heuristic', 'Encoder [fallback heuristico]'), ('llm', false, 'heuristic', 'LLM [fallback heuristico]')) t(model_id, available, mode, name)")
+def pred_catalog(spark, d):
+    """What each model of a catalog resolves to where neither weights nor keys are there."""
+    rows = [(e.model_id, e.available, *inference.resolve(e.model_id, CATALOG)[1:]) for e in CATALOG]
+    return spark.createDataFrame(rows, "model_id string, available boolean, mode string, name string")
+
+
+@query("cls_fallback", f"SELECT seg_id, label, 'heuristic' AS used_mode, 'LLM [fallback heuristico]' AS used_name FROM {_T1}")
+def cls_fallback(spark, d):
+    """A model that isn't there: the rules answer, and the name says so."""
+    rules = lambda df: df.select("seg_id", rh.section("text", "p")["label"].alias("label"))
+    ask = lambda df: inference.ask(df, "seg_id", "text", inference.EchoClient, "section")
+    return inference.with_fallback(_placed(spark, d), "llm", CATALOG, ask, rules).select("seg_id", "label", "used_mode", "used_name")
+
+
 _TS = tx.duck(lexicon.T2_PATTERN)
 
 
@@ -162,3 +188,23 @@ _ARRAY = "[" + ", ".join(f"'{x}'" for x in lexicon.T1_PATTERNS) + "]"
 @query("dim_lexicon", f"SELECT label, i AS place FROM (SELECT unnest({_ARRAY}) AS label, unnest(range({len(lexicon.T1_PATTERNS)})) AS i)")
 def dim_lexicon(spark, d):
     return spark.createDataFrame([(k, i) for i, k in enumerate(lexicon.T1_PATTERNS)], "label string, place int")
+
+
+@query("sql_functions", "SELECT doc_id, text IS NOT NULL AS same, round((81 * 200 + 89 * 200 - (96 * 96 + 104 * 104)) / (200.0 * 200 - (96 * 96 + 104 * 104)), 4) AS kappa FROM documents")
+def sql_functions(spark, d):
+    """The functions registered for SQL: paragraphs as the Column expression has them, and kappa of a known table."""
+    from lectern.functions.registered import register
+
+    register(spark)
+    rows = table(spark, d, "documents", "doc_id", "text").withColumn("p", sg.paragraphs("text"))
+    return rows.select("doc_id", (F.expr("split_paragraphs(text)") == F.col("p")).alias("same"), F.expr("round(kappa(81L, 89L, 15L, 15L), 4)").alias("kappa"))
+
+
+@query("sql_sliding_fragments")
+def sql_sliding_fragments(spark, d):
+    """The table function in SQL, over the sentences of every document."""
+    from lectern.functions.registered import register
+
+    register(spark)
+    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.sentences("text").alias("sentences"))
+    return spark.sql("SELECT doc_id, f.* FROM {docs}, LATERAL sliding_fragments(sentences, 250, 1000, 2) f", docs=docs)

@@ -8,13 +8,15 @@ from lectern.functions import lexicon
 from lectern.plans.registry import ann, frg, log, query, seg
 from lectern.sources.tables import table
 
-_T2 = "(SELECT request_id, any_value(lower(trim(raw_answer)) ~ '^(si|sí|yes)') AS yes, max(confidence) AS conf FROM {LOG} WHERE task = 'T2' AND request_id IS NOT NULL GROUP BY request_id HAVING count(*) = 1)"
+_T2 = "(SELECT request_id, arg_max(coalesce(lower(trim(raw_answer)) ~ '^(si|sí|yes)', false), (predicted_at, log_id)) AS yes, arg_max({'c': confidence}, (predicted_at, log_id)).c AS conf FROM {LOG} WHERE task = 'T2' AND request_id IS NOT NULL GROUP BY request_id)"
 
 
 @query("join_t1_t2", f"SELECT s.seg_id, coalesce(t.yes, false) AS is_contribution, coalesce(t.conf, 0.5) AS confidence FROM {{SEG}} s LEFT JOIN {_T2} t USING (request_id)")
 def join_t1_t2(spark, d):
-    one = log(spark, d, "request_id", "task", "raw_answer", "confidence").filter("task = 'T2' and request_id is not null").groupBy("request_id").agg(F.count("*").alias("n"), F.max("confidence").alias("conf"), F.max(F.lower(F.trim("raw_answer")).rlike("^(si|sí|yes)")).alias("yes")).filter("n = 1")
-    return seg(spark, d, "request_id").join(one, "request_id", "left").select("seg_id", F.coalesce("yes", F.lit(False)).alias("is_contribution"), F.coalesce("conf", F.lit(0.5)).alias("confidence"))
+    """Every segment with the latest answer of its request; false and 0.5 where there is none."""
+    said = F.struct(F.coalesce(F.lower(F.trim("raw_answer")).rlike("^(si|sí|yes)"), F.lit(False)).alias("yes"), F.col("confidence").alias("conf"))
+    last = log(spark, d, "request_id", "task", "raw_answer", "confidence", "predicted_at").filter("task = 'T2' and request_id is not null").groupBy("request_id").agg(F.max_by(said, F.struct("predicted_at", "log_id")).alias("x"))
+    return seg(spark, d, "request_id").join(last, "request_id", "left").select("seg_id", F.coalesce("x.yes", F.lit(False)).alias("is_contribution"), F.coalesce("x.conf", F.lit(0.5)).alias("confidence"))
 
 
 _LAST = "(SELECT fragment_id, upper(annotator) AS who, arg_max(label, ann_id) FILTER (label IS NOT NULL) AS label FROM {ANN} WHERE label IS NOT NULL GROUP BY ALL)"

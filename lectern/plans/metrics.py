@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from lectern.functions import lexicon, text as tx
 from lectern.operators import evaluation as ev
 from lectern.plans.joins import _LAST, annotators, plain_doc
-from lectern.plans.registry import frg, log, query
+from lectern.plans.registry import frg, log, query, seg
 from lectern.sources.tables import table
 
 _AB = f"(SELECT a.fragment_id, a.label AS a, b.label AS b FROM {_LAST} a JOIN {_LAST} b ON a.fragment_id = b.fragment_id AND a.who = 'A' AND b.who = 'B')"
@@ -100,17 +101,10 @@ def met_curves(spark, d):
     return ev.curves(_scored(spark, d), "y", "p").select("threshold", *[F.round(c, 6).alias(c) for c in ("tpr", "fpr", "precision")])
 
 
-_DRAW = "('x' || substr(md5(concat_ws('|', '42', b, i)), 1, 8))"
-
-
-@query("met_bootstrap", f"""WITH v AS (SELECT row_number() OVER (ORDER BY fragment_id) - 1 AS i, y, (p >= 0.3)::INT AS yhat, count(*) OVER () AS n FROM {_BIN}),
- k AS (SELECT b, i, ((instr('0123456789abcdef', substr(h, 1, 1)) - 1) * 268435456 + (instr('0123456789abcdef', substr(h, 2, 1)) - 1) * 16777216 + (instr('0123456789abcdef', substr(h, 3, 1)) - 1) * 1048576 + (instr('0123456789abcdef', substr(h, 4, 1)) - 1) * 65536
-  + (instr('0123456789abcdef', substr(h, 5, 1)) - 1) * 4096 + (instr('0123456789abcdef', substr(h, 6, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(h, 7, 1)) - 1) * 16 + (instr('0123456789abcdef', substr(h, 8, 1)) - 1)) % n AS j
-  FROM (SELECT b, i, n, md5(concat_ws('|', '42', b, i)) AS h FROM v CROSS JOIN (SELECT unnest(range(50)) AS b))),
- s AS (SELECT b, count(*) FILTER (v.y = 1 AND v.yhat = 1) AS tp, count(*) FILTER (v.y <> v.yhat) AS wrong, count(DISTINCT v.y) AS classes FROM k JOIN v ON v.i = k.j GROUP BY b), f AS (SELECT 2 * tp / (2 * tp + wrong) AS f1 FROM s WHERE classes = 2)
- SELECT count(*) AS samples, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f""")
+@query("met_bootstrap")
 def met_bootstrap(spark, d):
-    out = ev.bootstrap_f1(_scored(spark, d).select("fragment_id", "y", (F.col("p") >= 0.3).cast("int").alias("yhat")), "fragment_id", "y", "yhat", 50, 42)
+    """Macro-F1 of 1,000 resamples: mean, deviation and the middle 95 %."""
+    out = ev.bootstrap_f1(_scored(spark, d).select("y", (F.col("p") >= 0.3).cast("int").alias("yhat")), "y", "yhat")
     return out.select("samples", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")])
 
 
@@ -128,6 +122,19 @@ def met_reliability(spark, d):
     return _scored(spark, d).groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("p"), 5).alias("predicted"))
 
 
+#: What models answered of paragraphs of a request, against whether the request has a paragraph marked as a contribution.
+_SAID = "(SELECT l.model_id, coalesce(regexp_matches(lower(trim(l.raw_answer)), '^(si|sí|yes)'), false)::INT AS yhat, r.y FROM {LOG} l JOIN (SELECT request_id, max((t1_label = 'CONTR')::INT) AS y FROM {SEG} GROUP BY 1) r USING (request_id) WHERE l.task = 'T2')"
+_F1 = "coalesce(2 * count(*) FILTER (y = 1 AND yhat = 1) / nullif(2 * count(*) FILTER (y = 1 AND yhat = 1) + count(*) FILTER (y <> yhat), 0), 0)"
+_REC = "coalesce(count(*) FILTER (y = 1 AND yhat = 1) / nullif(count(*) FILTER (y = 1), 0), 0)"
+
+
+def model_answers(spark, d):
+    from lectern.operators.answers import yes_no
+
+    asked = seg(spark, d, "request_id", "t1_label").groupBy("request_id").agg(F.max((F.col("t1_label") == "CONTR").cast("int")).alias("y"))
+    return log(spark, d, "model_id", "task", "request_id", "raw_answer").filter("task = 'T2'").select("model_id", "request_id", yes_no("raw_answer").alias("yhat")).join(asked, "request_id")
+
+
 _CAT = "CASE WHEN y = 1 AND p >= 0.3 THEN 'TP' WHEN y = 0 AND p >= 0.3 THEN 'FP' WHEN y = 0 THEN 'TN' ELSE 'FN' END"
 
 
@@ -153,12 +160,13 @@ def met_leak(spark, d):
     return docs.agg(F.count("*").alias("leaking_docs")).select("leaking_docs", F.when(F.col("leaking_docs") == 0, "clean").otherwise("leak").alias("verdict"))
 
 
-@query("met_fewshot_delta", """WITH m AS (SELECT model_id, round(avg(confidence), 6) AS score, count(*) AS n FROM {LOG} WHERE model_id LIKE 'llm%' GROUP BY model_id)
- SELECT model_id, row_number() OVER (ORDER BY score DESC, model_id) AS place, round(score - min(score) OVER (), 6) AS delta, round(n * 500 * 0.15 / 1000000 + n * 5 * 0.6 / 1000000, 6) AS cost_usd FROM m""")
+@query("met_fewshot_delta", f"""WITH m AS (SELECT model_id, count(*) AS n, round({_F1}, 6) AS f1, round({_REC}, 6) AS recall FROM {_SAID} GROUP BY model_id)
+ SELECT model_id, row_number() OVER (ORDER BY f1 DESC, model_id) AS place, f1, round(f1 - min(f1) OVER (), 6) AS f1_delta, round(recall - min(recall) OVER (), 6) AS recall_delta, round(n * 500 * 0.15 / 1000000 + n * 5 * 0.6 / 1000000, 6) AS cost_usd FROM m""")
 def met_fewshot_delta(spark, d):
-    m = log(spark, d, "model_id", "confidence").filter("model_id like 'llm%'").groupBy("model_id").agg(F.round(F.avg("confidence"), 6).alias("score"), F.count("*").alias("n"))
-    low = m.agg(F.min("score").alias("low"))
-    return m.join(F.broadcast(low)).select("model_id", F.row_number().over(Window.orderBy(F.desc("score"), "model_id")).alias("place"), F.round(F.col("score") - F.col("low"), 6).alias("delta"), F.round(F.col("n") * 500 * 0.15 / 1000000 + F.col("n") * 5 * 0.6 / 1000000, 6).alias("cost_usd"))
+    """Models by F1 of their yes or no, what each gains over the weakest in F1 and recall, and what it costs."""
+    m = ev.binary_by(model_answers(spark, d), "model_id", "y", "yhat").select("model_id", "n", F.round("f1", 6).alias("f1"), F.round("recall", 6).alias("recall"))
+    low = m.agg(F.min("f1").alias("low_f1"), F.min("recall").alias("low_recall"))
+    return m.join(F.broadcast(low)).select("model_id", F.row_number().over(Window.orderBy(F.desc("f1"), "model_id")).alias("place"), "f1", F.round(F.col("f1") - F.col("low_f1"), 6).alias("f1_delta"), F.round(F.col("recall") - F.col("low_recall"), 6).alias("recall_delta"), F.round(F.col("n") * 500 * 0.15 / 1000000 + F.col("n") * 5 * 0.6 / 1000000, 6).alias("cost_usd"))
 
 
 @query("met_split_diag", """WITH s AS (SELECT lower(trim(split)) AS part, avg((a1_label = 'ES_CONTRIBUCION')::INT) AS pos FROM {FRG} WHERE split IS NOT NULL AND a1_label IS NOT NULL GROUP BY 1)
@@ -168,13 +176,19 @@ def met_split_diag(spark, d):
     return s.join(F.broadcast(s.agg((F.max("p") - F.min("p") < 0.05).alias("even")))).select("part", F.round("p", 6).alias("pos"), "even", ((F.col("p") < 0.05) | (F.col("p") > 0.95)).alias("unbalanced"))
 
 
-@query("met_ablation")
+_HITS2 = f"len(regexp_extract_all(x, '{tx.duck(lexicon.T2_PATTERN)}')) > 0"
+_MACRO = "(coalesce(2 * tp / nullif(2 * tp + w, 0), 0) + coalesce(2 * tn / nullif(2 * tn + w, 0), 0)) / 2"
+_ARMS = {"whole": "text", "random_prefix": "'[SECCION:' || CASE WHEN substr(md5(concat_ws('|', '42', fragment_id)), 1, 1) <= '7' THEN 'BACK' ELSE 'INTRO' END || '] [POS:0.5] ' || text", "empty_text": "''"}
+
+
+@query("met_ablation", f"""WITH v AS (SELECT *, (a1_label = 'ES_CONTRIBUCION') AS y FROM {{FRG}} WHERE a1_label IS NOT NULL), a AS (SELECT fragment_id, y, unnest(['whole', 'random_prefix', 'empty_text']) AS arm,
+ unnest([{', '.join(_ARMS.values())}]) AS x FROM v), s AS (SELECT arm, count(*) FILTER (y AND h) AS tp, count(*) FILTER (NOT y AND NOT h) AS tn, count(*) FILTER (y <> h) AS w FROM (SELECT arm, y, {_HITS2} AS h FROM a) GROUP BY arm),
+ f AS (SELECT arm, {_MACRO} AS f1 FROM s) SELECT arm, round(f1, 6) AS macro_f1, round(w.f - f1, 6) AS drop_f1, CASE WHEN w.f - f1 > 0.2 THEN 'content' WHEN w.f - f1 > 0.05 THEN 'mixed' ELSE 'shortcut' END AS verdict FROM f, (SELECT f1 AS f FROM f WHERE arm = 'whole') w WHERE arm <> 'whole'""")
 def met_ablation(spark, d):
-    """Macro-F1 of the section rules with the text, without it, and the drop."""
-    from lectern.operators import rhetoric
+    """Macro-F1 of the contribution rules with a random context prefix and with an empty text, and the drop from the whole text."""
+    from lectern.operators import answers, rhetoric
 
     rows = frg(spark, d, "text", "a1_label").filter("a1_label is not null").withColumn("y", (F.col("a1_label") == "ES_CONTRIBUCION").cast("int"))
-    whole = ev.binary_macro_f1(rows.withColumn("yhat", (rhetoric.contribution_hits("text") > 0).cast("int")), "y", "yhat").withColumnRenamed("macro_f1", "with_text")
-    empty = ev.binary_macro_f1(rows.withColumn("yhat", (rhetoric.contribution_hits(F.lit("")) > 0).cast("int")), "y", "yhat").withColumnRenamed("macro_f1", "without_text")
-    drop = F.col("with_text") - F.col("without_text")
-    return whole.join(F.broadcast(empty)).select("with_text", "without_text", drop.alias("drop"), F.when(drop > 0.2, "content").when(drop > 0.05, "mixed").otherwise("shortcut").alias("verdict"))
+    low = F.substring(F.md5(F.concat_ws("|", F.lit("42"), "fragment_id")), 1, 1).isin(*"01234567")
+    prefixed = answers.context_prefix(F.when(low, "BACK").otherwise("INTRO"), F.lit(0.5), "text")
+    return ev.ablation(rows, "y", {"whole": F.col("text"), "random_prefix": prefixed, "empty_text": F.lit("")}, "whole", lambda x: (rhetoric.contribution_hits(x) > 0).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lectern.operators import sampling as sp
 from lectern.plans.joins import plain_doc
+from lectern.plans.metrics import _F1, _SAID, model_answers
 from lectern.plans.registry import frg, log, query, seg
 
 _H = "md5(concat_ws('|', '42', {k})), {k}"
@@ -25,10 +26,12 @@ def sort_probs_top3(spark, d):
     return every.select("request_id", F.posexplode(F.slice(F.array_sort(probs), 2, 3)).alias("i", "x")).select("request_id", F.col("x.t1_label").alias("t1_label"), (-F.col("x.m")).alias("p"), (F.col("i") + 1).alias("place"))
 
 
-@query("sort_rank_models", "SELECT model_id, score, row_number() OVER (ORDER BY score DESC, model_id) AS place FROM (SELECT model_id, round(avg(confidence), 6) AS score FROM {LOG} GROUP BY model_id)")
+@query("sort_rank_models", f"SELECT model_id, f1, row_number() OVER (ORDER BY f1 DESC, model_id) AS place FROM (SELECT model_id, round({_F1}, 6) AS f1 FROM {_SAID} GROUP BY model_id)")
 def sort_rank_models(spark, d):
-    m = log(spark, d, "model_id", "confidence").groupBy("model_id").agg(F.round(F.avg("confidence"), 6).alias("score"))
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "model_id")))
+    from lectern.operators.evaluation import binary_by
+
+    m = binary_by(model_answers(spark, d), "model_id", "y", "yhat").select("model_id", F.round("f1", 6).alias("f1"))
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "model_id")))
 
 
 @query("sort_effect_size", "SELECT feature, d, row_number() OVER (ORDER BY d DESC, feature) AS place FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(avg({c}) FILTER (p) - avg({c}) FILTER (NOT p)) / sqrt((stddev_samp({c}) FILTER (p) ** 2 + stddev_samp({c}) FILTER (NOT p) ** 2) / 2), 6) AS d FROM (SELECT *, a1_label = 'ES_CONTRIBUCION' AS p FROM {{FRG}} WHERE a1_label IS NOT NULL)" for c in ("word_count", "relative_pos", "score_implicit")) + ")")

@@ -78,7 +78,7 @@ def txt_sliding_frag(spark, d):
     """Overlapping windows of whole sentences, 250 to 1,000 words, with offsets and the heading before them."""
     from lectern.operators import mining
 
-    return mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", min_words=100, max_words=400)
+    return mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query("txt_normalize_pdf", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '-[\r\n]+([a-záéíóúüñ])', '\1', 'g'), '([.!?;:,])([A-ZÁÉÍÓÚÜÑ\d¿¡])', '\1 \2', 'g'), '$^', ''), '–', ' '), '—', ' '), '[ \t\r\f\v]{2,}', ' ', 'g'), '$^', '')) AS h FROM documents""")
@@ -133,11 +133,15 @@ def txt_kw_extract(spark, d):
     return frg(spark, d, "text").select("fragment_id", F.array_sort(F.array_distinct(F.transform(found, F.lower))).alias("keywords"))
 
 
+def keywords(text):
+    """The methodological words of a text, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(tx.jvm(lexicon.T1_PATTERNS["METH"])), F.lit(0)), F.lower))
+
+
 @query("txt_mask_dynamic")
 def txt_mask_dynamic(spark, d):
     """Fragments whose own methodological words are masked, the longest first."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(tx.jvm(lexicon.T1_PATTERNS["METH"])), F.lit(0)), F.lower))
-    return frg(spark, d, "text").select("fragment_id", cleaning.mask("text", found).alias("masked"))
+    return frg(spark, d, "text").select("fragment_id", cleaning.mask("text", keywords("text")).alias("masked"))
 
 
 _SOFT = "|".join(sorted(lexicon.SOFT_MASK_KEYWORDS, key=lambda k: (-len(k), k)))
@@ -162,8 +166,9 @@ def txt_mask_count(spark, d):
 
 @query("txt_truncate_anchor")
 def txt_truncate_anchor(spark, d):
-    """Texts above 400 words cut to a window around their first keyword."""
-    return frg(spark, d, "text").select("fragment_id", cleaning.truncate_around("text", F.col("fragment_id"), lexicon.SOFT_MASK_KEYWORDS).alias("window"))
+    """Texts above 400 words cut to a window around the first of their own keywords that stands in them."""
+    rows = frg(spark, d, "text").withColumn("keywords", keywords("text"))
+    return rows.select("fragment_id", cleaning.truncate_around("text", F.col("fragment_id"), F.col("keywords")).alias("window"))
 
 
 @query("prep_refactor")
@@ -171,7 +176,7 @@ def prep_refactor(spark, d):
     """Front matter dropped, window cut, masked again; test rows are only masked."""
     rows = frg(spark, d, "text", "split").withColumn("test", F.lower(F.trim("split")) == "test")
     kept = rows.filter(F.coalesce("test", F.lit(False)) | (sg.frontmatter_score("text") < 2))
-    cut = F.when(F.coalesce("test", F.lit(False)), F.col("text")).otherwise(cleaning.truncate_around("text", F.col("fragment_id"), lexicon.SOFT_MASK_KEYWORDS))
+    cut = F.when(F.coalesce("test", F.lit(False)), F.col("text")).otherwise(cleaning.truncate_around("text", F.col("fragment_id"), keywords("text")))
     out = kept.select("fragment_id", cleaning.soft_mask(cut).alias("text"))
     return out.select("fragment_id", "text", tx.word_count("text").alias("n"), cleaning.mask_count("text").alias("masks"))
 
@@ -245,9 +250,21 @@ def txt_hash(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.substring(F.md5(F.substring("text", 1, 2048)), 1, 12).alias("m"), F.substring(F.sha1(F.substring("text", 1, 65536)), 1, 12).alias("s1"), F.sha2("text", 256).alias("s2"))
 
 
-@query("txt_few_shot_prompt", "SELECT item_id, 'Responda SI o NO.' || chr(10) || string_agg('Texto: ' || left(text, 60) || chr(10) || 'Respuesta: ' || label, chr(10)) OVER (ORDER BY item_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS prompt FROM gold_items WHERE item_set = 'gold_t2'")
+def _prompt_sql(task):
+    from lectern.functions import prompts
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    before = "".join(f"<{role}>{content}" for role, content in prompts.opening(task, True))
+    head, tail = prompts.QUESTION[task]
+    return f"{quoted(before + '<user>' + head)} || text || {quoted(tail)}"
+
+
+@query("txt_few_shot_prompt", f"SELECT item_id, md5(CASE item_set WHEN 'gold_t1' THEN {_prompt_sql('section')} ELSE {_prompt_sql('yes_no')} END) AS h, CASE item_set WHEN 'gold_t1' THEN 2 ELSE 18 END AS turns FROM gold_items")
 def txt_few_shot_prompt(spark, d):
-    return answers.few_shot_prompts(table(spark, d, "gold_items", "item_id", "item_set", "text", "label").filter("item_set = 'gold_t2'"), "item_id", "text", "label", 3, "Responda SI o NO.")
+    """The prompt of every held-out item: instruction, examples, and the whole text without its label."""
+    rows = table(spark, d, "gold_items", "item_id", "item_set", "text")
+    rows = rows.select("item_id", F.when(F.col("item_set") == "gold_t1", answers.prompt("text", "section")).otherwise(answers.prompt("text", "yes_no")).alias("p"))
+    return rows.select("item_id", F.md5(F.array_join(F.transform("p", lambda t: F.concat(F.lit("<"), t["role"], F.lit(">"), t["content"])), "")).alias("h"), F.size("p").alias("turns"))
 
 
 @query("txt_html_escape", "SELECT seg_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS h FROM {SEG}")

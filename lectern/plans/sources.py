@@ -26,10 +26,10 @@ def _files(spark, d, name):
 
 @query("src_txt_dir", "SELECT doc_id, length(text) AS chars FROM documents")
 def src_txt_dir(spark, d):
-    """Documents written as one line each to .txt files and read by glob."""
+    """Text files of a folder, read whole: here a record a line each."""
     at = _files(spark, d, "txt-dir")
-    rows = spark.read.option("pathGlobFilter", "*.txt").text(at)
-    return rows.select(F.from_json("value", "doc_id long, text string").alias("x")).select("x.doc_id", F.length("x.text").alias("chars"))
+    lines = readers.text_documents(spark, f"{at}/part=*").select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.from_json("line", "doc_id long, text string").alias("x")).select("x.doc_id", F.length("x.text").alias("chars"))
 
 
 @query("src_recursive", "SELECT doc_id, length(text) AS chars FROM documents")
@@ -59,17 +59,77 @@ def src_csv(spark, d):
     return readers.csv_strings(spark, at).select("item_id", F.md5("text").alias("h"), "label")
 
 
-@query("src_doc")
+def _docx(text):
+    """The bytes of a Word document with a paragraph a line."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return buffer.getvalue()
+
+
+def _xlsx(rows):
+    """The bytes of a workbook with the given rows of texts."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    cell = lambda k, i, v: f'<c r="{chr(65 + k)}{i}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+    lines = "".join(f'<row r="{i}">' + "".join(cell(k, i, v) for k, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>')
+    return buffer.getvalue()
+
+
+def _made(spark, d, ending, make):
+    """(path, content) of files made of the held-out items, one an item."""
+    build = F.udf(lambda i, t, s: make(i, t, s), "binary")
+    rows = table(spark, d, "gold_items", "item_id", "text", "label")
+    return rows.select(F.concat("item_id", F.lit(ending)).alias("path"), build("item_id", "text", "label").alias("content"))
+
+
+@query("src_docx", r"SELECT item_id || '.docx' AS path, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS h, 0 AS error_code FROM gold_items")
+def src_docx(spark, d):
+    """Word documents: their text, a line a paragraph."""
+    return readers.office_documents(_made(spark, d, ".docx", lambda i, t, s: _docx(t))).select("path", F.md5("text").alias("h"), "error_code")
+
+
+@query("src_xlsx", "SELECT item_id || '.xlsx' AS path, item_id::VARCHAR AS id, label, md5(text) AS h FROM gold_items")
+def src_xlsx(spark, d):
+    """Workbooks: the rows of their first sheets."""
+    files = _made(spark, d, ".xlsx", lambda i, t, s: _xlsx([["id", "label", "text"], [i, s or "", t]]))
+    return readers.xlsx_sheets(files, ["id", "label", "text"]).select("path", "id", "label", F.md5("text").alias("h"))
+
+
+@query("src_doc", "SELECT item_id || '.doc' AS path, [400, 400, 400, 413][item_id % 4 + 1] AS error_code FROM gold_items")
 def src_doc(spark, d):
-    """Error codes of file contents that are no Word files."""
-    rows = table(spark, d, "gold_items", "item_id", "text").select(F.concat("item_id", F.lit(".doc")).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return readers.office_documents(rows)
+    """Files that are no legacy Word files: empty, plain text, a newer Word document under the old ending, and too large."""
+    def content(i, t, s):
+        return (b"", t.encode(), _docx(t), readers.OLE_MAGIC + bytes(readers.MOST_BYTES))[i % 4]
+
+    return readers.office_documents(_made(spark, d, ".doc", content)).select("path", "error_code")
 
 
 @query("snk_jsonl_roles", """WITH r AS (SELECT fragment_id, lower(trim(contr_type)) AS k, lower(trim(tarea2_role)) AS r FROM {FRG}), s AS (SELECT 't1' AS sink, fragment_id FROM r WHERE k IN ('explicit', 'implicit') UNION ALL SELECT 't2_positive', fragment_id FROM r WHERE r = 'positive'
- UNION ALL SELECT 't2_hard_negative', fragment_id FROM r WHERE r = 'hard_negative' UNION ALL (SELECT 't2_negative', fragment_id FROM r WHERE r = 'negative' ORDER BY fragment_id LIMIT 500)) SELECT * FROM s""")
+ UNION ALL SELECT 't2_hard_negative', fragment_id FROM r WHERE r = 'hard_negative' UNION ALL (SELECT 't2_negative', fragment_id FROM r WHERE r = 'negative' ORDER BY fragment_id LIMIT 1500)) SELECT * FROM s""")
 def snk_jsonl_roles(spark, d):
-    return writers.by_role(frg(spark, d, "contr_type", "tarea2_role"), ["fragment_id"], 500).select("sink", "fragment_id")
+    """Fragments written to a folder of JSON lines for each role, and read back."""
+    at = _folder(spark, "roles")
+    writers.write_by_role(frg(spark, d, "contr_type", "tarea2_role"), at, ["fragment_id"])
+    return spark.read.schema("fragment_id long, sink string").json(at).select("sink", "fragment_id")
+
+
+@query("snk_csv", "SELECT fragment_id::VARCHAR AS fragment_id, md5(text) AS h FROM {FRG} WHERE text <> ''")
+def snk_csv(spark, d):
+    """Fragments, line breaks and quotes in them, written as CSV and read back."""
+    at = _folder(spark, "csv-sink")
+    writers.write_csv(frg(spark, d, "text").filter("text <> ''"), at)
+    return readers.csv_strings(spark, at).select("fragment_id", F.md5("text").alias("h"))
 
 
 @query("export_rhetorical", "SELECT seg_index + 1 AS number, t1_label, t1_label_name, t1_confidence, CASE WHEN t1_confidence <= 0.42 THEN 'SI' ELSE 'NO' END AS confianza_baja, CASE WHEN t1_label = 'CONTR' THEN 'ES_CONTRIBUCION' ELSE 'NO_ES_CONTRIBUCION' END AS t2, rhetorical_zone, relative_pos, ceil((seg_index + 1) / 6.0)::INT AS pagina, word_count, md5(text) AS texto, seg_id FROM {SEG}")
@@ -90,11 +150,12 @@ def export_contrib(spark, d):
     return rows.select(n.alias("number"), F.concat("t1_label_name", F.lit(" ("), percent(F.col("t1_confidence")), F.lit("%)")).alias("contexto"), "rhetorical_zone", "relative_pos", "word_count", "char_start", "char_end", F.md5("text").alias("fragmento"), "seg_id")
 
 
-@query("snk_json_html_pdf")
+@query("snk_json_html_pdf", """SELECT md5('<tr><td>' || seg_id || '</td><td>' || replace(replace(replace(t1_label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td></tr>') AS html, seg_id, t1_label, length(text) AS chars FROM {SEG}""")
 def snk_json_html_pdf(spark, d):
-    """Rows of an HTML report, and each row as JSON."""
-    rows = seg(spark, d, "t1_label", "text")
-    return writers.html_rows(rows, ["seg_id", "t1_label", "text"])
+    """Each row as a row of an HTML report, and as JSON that is read again."""
+    rows = writers.report_rows(seg(spark, d, "t1_label", "text"), ["seg_id", "t1_label", "text"])
+    back = F.from_json("json", "seg_id long, t1_label string, text string")
+    return rows.select(F.md5("html").alias("html"), back.alias("x")).select("html", "x.seg_id", "x.t1_label", F.length("x.text").alias("chars"))
 
 
 @query("snk_splits", "SELECT lower(trim(split)) AS split, a1_label, count(*) AS n FROM {FRG} WHERE split IS NOT NULL GROUP BY ALL")
@@ -103,25 +164,37 @@ def snk_splits(spark, d):
     return writers.write_splits(rows, _folder(spark, "splits"), "despues")
 
 
-@query("snk_predlog", "SELECT strftime(predicted_at, '%Y-%m-%d') AS dt, count(*) AS n, count(DISTINCT model_id) AS models FROM {LOG} GROUP BY 1")
+@query("snk_predlog", "SELECT strftime(predicted_at, '%Y-%m-%d') AS dt, substr(sha1(raw_answer), 1, 12) AS input_hash, length(raw_answer) AS input_length, count(*) AS n FROM {LOG} GROUP BY ALL")
 def snk_predlog(spark, d):
+    """Log entries with a hash and the length of a text instead of it, appended by day."""
     at = _folder(spark, "predlog")
-    writers.write_prediction_log(log(spark, d, "predicted_at", "model_id", "confidence"), at, "predicted_at")
-    return spark.read.schema("log_id long, model_id string, dt string").json(at).groupBy("dt").agg(F.count("*").alias("n"), F.countDistinct("model_id").alias("models"))
+    writers.write_prediction_log(writers.prediction_entries(log(spark, d, "predicted_at", "raw_answer"), "raw_answer"), at, "predicted_at")
+    rows = spark.read.schema("log_id long, input_hash string, input_length int, dt string").json(at)
+    return rows.groupBy("dt", "input_hash", "input_length").agg(F.count("*").alias("n"))
 
 
-@query("snk_checkpoint", "SELECT doc_id FROM documents WHERE doc_id > 500")
+@query("snk_checkpoint", "SELECT doc_id, length(text) AS chars, 1 AS times FROM documents")
 def snk_checkpoint(spark, d):
-    """What is left after the last document of an interrupted run."""
-    last = spark.createDataFrame([(500,)], "last long")
-    return table(spark, d, "documents", "doc_id").join(F.broadcast(last)).filter("doc_id > last").select("doc_id")
-
-
-@query("snk_partial", "SELECT fragment_id, substr(sha1(text), 1, 12) AS key FROM {FRG}")
+    """A run in batches that is taken up from its checkpoint: a first batch, then the rest behind its last document."""
+    out, state = _folder(spark, "batches"), _folder(spark, "checkpoint")
+    docs = table(spark, d, "documents", "doc_id", "text")
+    spark.createDataFrame([], "last long").write.parquet(state)
+    for most in (300, 2_147_483_647):
+        batch = readers.batch_after(docs, "doc_id", spark.read.schema("last long").parquet(state), most)
+        path = f"{out}/upto={most}"
+        batch.select("doc_id", F.length("text").alias("chars")).write.parquet(path)
+        spark.read.parquet(path).agg(F.max("doc_id").alias("last")).write.mode("append").parquet(state)
+    return spark.read.parquet(out).groupBy("doc_id", "chars").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("snk_partial", "SELECT fragment_id, len(regexp_extract_all(text, '[^\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}]+')) AS words FROM {FRG}")
 def snk_partial(spark, d):
-    """Results kept as Parquet under the hash of their input, and joined back instead of computed again."""
+    """Results kept as Parquet under the hash of their input: the second run computes only what the first has not."""
+    from lectern.functions import text as tx
     from lectern.runtime import materialize
 
-    rows = frg(spark, d, "text").select("fragment_id", F.substring(F.sha1("text"), 1, 12).alias("key"))
-    cache = materialize(rows.select("key").distinct(), "inference-cache")
-    return rows.join(cache, "key").select("fragment_id", "key")
+    rows = frg(spark, d, "text").withColumn("key", F.sha2("text", 256))
+    result = lambda df: df.dropDuplicates(["key"]).select("key", tx.word_count("text").alias("words"))
+    cache = materialize(result(rows.filter("fragment_id % 2 = 0")), "inference-cache")
+    fresh = result(rows.join(cache, "key", "left_anti"))
+    return rows.select("fragment_id", "key").join(cache.unionByName(fresh), "key").select("fragment_id", "words")

@@ -31,9 +31,9 @@ def stream_window_counts(spark, d):
     base = _once(spark, d, "events", ["event_id", "ts", "event_type"], 1)
     stream = corpus.read_growing(spark, f"{base}/in", "event_id long, ts timestamp_ntz, event_type string").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     counts = stream.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    name = "w" + uuid.uuid4().hex
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start().awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    rows = counts.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    corpus.run_updates(rows, f"{base}/out", f"{base}/state")
+    return corpus.latest(spark, f"{base}/out", ["hour", "event_type"])
 
 
 @query("stream_rate_limit")

@@ -86,10 +86,10 @@ def win_rate_limit_exact(spark, d):
  SELECT doc FROM (SELECT doc, coalesce(sum(p) OVER w, 0) AS p, coalesce(sum(n) OVER w, 0) AS n FROM f WINDOW w AS (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE NOT (p >= 100 AND n >= 200)""")
 def win_cumulative_target(spark, d):
     role = F.lower(F.trim("tarea2_role"))
-    f = frg(spark, d, "doc_id", "tarea2_role").filter("doc_id is not null").groupBy(F.lower(F.trim("doc_id")).alias("doc")).agg(F.count_if(role == "positive").alias("p"), F.count_if(role == "negative").alias("n"))
-    w = Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
-    s = f.select("doc", F.coalesce(F.sum("p").over(w), F.lit(0)).alias("p"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"))
-    return s.filter(~((F.col("p") >= 100) & (F.col("n") >= 200))).select("doc")
+    from lectern.operators.sampling import until_reached
+
+    rows = frg(spark, d, "doc_id", "tarea2_role").filter("doc_id is not null").select(F.lower(F.trim("doc_id")).alias("doc"), role.alias("role"))
+    return until_reached(rows, "doc", {"positive": (F.col("role") == "positive", 100), "negative": (F.col("role") == "negative", 200)})
 
 
 @query("win_greedy_split", """WITH f AS (SELECT lower(trim(doc_id)) AS doc, count(*) AS n FROM {FRG} WHERE doc_id IS NOT NULL GROUP BY 1), t AS (SELECT floor(0.8 * sum(n))::BIGINT AS target FROM f)

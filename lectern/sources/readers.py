@@ -10,7 +10,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -37,12 +36,7 @@ def text_documents(spark: SparkSession, path: str, *, recursive: bool = False, a
 
 def decoded(content: str) -> Column:
     """Bytes as UTF-8 text, with replacement characters for what is not."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else bytes(b).decode("utf-8", "replace") for b in values])
-
-    return decode(F.col(content))
+    return F.make_valid_utf8(F.col(content).cast("string"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -67,10 +61,9 @@ def csv_strings(spark: SparkSession, path: str) -> DataFrame:
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def xlsx_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of an Excel workbook as strings, by its first row as header (a workbook is one task's work)."""
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+def sheet_rows(content: bytes) -> list[list[str | None]]:
+    """The rows of the first sheet of an Excel workbook; empty cells are null."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(_S + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_S + "si")]
@@ -79,17 +72,44 @@ def xlsx_sheet(spark: SparkSession, path: str) -> DataFrame:
     for row in sheet.iter(_S + "row"):
         cells: dict[int, str | None] = {}
         for c in row.iter(_S + "c"):
-            letters = "".join(x for x in c.get("r", "A1") if x.isalpha())
             at = 0
-            for x in letters:
+            for x in (x for x in c.get("r", "A1") if x.isalpha()):
                 at = at * 26 + ord(x) - 64
             v = c.find(_S + "v")
             text = "".join(t.text or "" for t in c.iter(_S + "t")) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
             cells[at - 1] = text
         rows.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
-    header = [str(x or f"_c{k}").strip() for k, x in enumerate(rows[0])] if rows else ["_c0"]
-    body = [tuple((r + [None] * len(header))[: len(header)]) for r in rows[1:]]
-    return spark.createDataFrame(body, StructType([StructField(h, StringType()) for h in header]))
+    return rows
+
+
+def xlsx_sheets(files: DataFrame, columns: list[str]) -> DataFrame:
+    """(path, the given columns as strings) of the first sheets of workbooks (path, content), by their first rows as headers.
+
+    A workbook is read by the task that holds it.  A column that a sheet lacks is null, other columns are left out; a file
+    that is no workbook gives no row.
+    """
+    schema = StructType([StructField(c, StringType()) for c in ("path", *columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    header, *body = sheet_rows(bytes(content or b"")) or [[]]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                place = {str(h or "").strip(): k for k, h in enumerate(header)}
+                out += [(path, *[r[place[c]] if c in place and place[c] < len(r) else None for c in columns]) for r in body]
+            got = list(zip(*out)) or [()] * (len(columns) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in got], names=["path", *columns])
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def batch_after(df: DataFrame, key: str, state: DataFrame, most: int) -> DataFrame:
+    """The next ``most`` rows in the order of key, behind the last one that ``state`` (column last, of batches done) knows."""
+    last = state.agg(F.max("last").alias("_last"))
+    return df.join(F.broadcast(last)).filter(F.col("_last").isNull() | (F.col(key) > F.col("_last"))).drop("_last").orderBy(key).limit(most)
 
 
 #: Fixed value: the first bytes of an OLE compound file.

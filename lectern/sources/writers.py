@@ -50,7 +50,12 @@ def write_prediction_log(df: DataFrame, path: str, time: str) -> None:
 
 def html_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One HTML table row of the given columns each, special characters as entities; null as nothing."""
+    return report_rows(df, columns).select("html")
+
+
+def report_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(html, json) of each row: a table row as by ``html_rows``, and a JSON object."""
     from lectern.operators.answers import escape_html
 
     cells = [F.concat(F.lit("<td>"), F.coalesce(escape_html(F.col(c).cast("string")), F.lit("")), F.lit("</td>")) for c in columns]
-    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"), F.to_json(F.struct(*columns)).alias("json"))

@@ -1,10 +1,12 @@
 """Golden values and edge cases of the core operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import lexicon, text as tx
 from lectern.operators import answers, cleaning, evaluation as ev, inference, layout, mining, rhetoric as rh, sampling as sp, segmentation as sg, statistics as st
 from lectern.operators.tables import union_common
+from lectern.sources import readers
 from lectern.streaming.rate_limit import decide, decide_batch
 
 
@@ -107,6 +109,92 @@ def test_windows_of_sentences():
     assert mining.windows_of(["a"], 10, 20, 2) == []
 
 
+def test_windows_go_by_words_and_full_stops():
+    s = ["a b c d.", "e f", "g h i j k l m n", "o p.", "q r s t.", "u."]
+    assert mining.windows_of(s, 5, 12, 1) == [(0, 3, 14), (2, 4, 10), (3, 5, 6), (4, 6, 5)]
+    assert mining.windows_of([], 5, 12, 1) == [] and mining.windows_of(["a " * 30], 5, 12, 2) == [(0, 1, 30)]
+    assert mining.windows_of(["", "a.", "b."], 0, 5, 0)[0] == (0, 2, 1)
+
+
+def test_fragments_of_a_document(spark):
+    body = " ".join(f"Palabra {k} de la frase que sigue con otras voces distintas." for k in range(40))
+    rows = spark.createDataFrame([(1, "Un título breve\n" + body), (2, None), (3, "corto.")], "id int, t string")
+    got = mining.sliding_fragments(rows, "id", "t", min_words=60, max_words=100).orderBy("idx").collect()
+    assert {r["id"] for r in got} == {1} and got[0]["char_start"] == 0 and got[0]["section_hint"] == "unknown"
+    assert all(r["word_count"] == len(r["text"].split()) >= 60 and r["section_hint"] == "Un título breve" for r in got[1:3])
+
+
+def test_labelled_snippets_stop_when_all_sections_are_full(spark):
+    found = mining.labelled_snippets(spark.createDataFrame([(1, None), (2, "nada")], "id int, t string"), "id", "t", 5)
+    assert found.count() == 0
+
+
+def test_prompt_holds_examples_and_the_whole_text_last(spark):
+    text = "Un texto " + "largo " * 1000
+    turns = one(spark, answers.prompt("t", "yes_no"), t=text)
+    assert [x["role"] for x in turns] == ["system", *["user", "assistant"] * 8, "user"]
+    assert turns[-1]["content"] == f"Fragmento:\n{text}\n\nRespuesta:" and [x["content"] for x in turns[2::2]] == ["SI", "NO"] * 4
+    short = one(spark, answers.prompt("t", "yes_no", examples=False, most=10), t=text)
+    assert len(short) == 2 and short[1]["content"] == "Fragmento:\nUn texto l\n\nRespuesta:"
+    section = one(spark, answers.prompt("t", "section", as_json=True), t="x")
+    assert len(section) == 2 and section[0]["content"].count("Categoría: ") == 14 and section[0]["content"].endswith('{"category": "SIGLA"}') and section[1]["content"] == 'Fragmento: "x"'
+
+
+def test_truncation_takes_the_first_of_the_rows_own_keywords(spark):
+    words = [f"p{i}" for i in range(1000)]
+    words[100], words[800] = "beta", "Alfa"
+    cut = lambda *keys: one(spark, cleaning.truncate_around("t", F.lit(7), F.array(*[F.lit(k) for k in keys]).cast("array<string>")), t=" ".join(words)).split()
+    assert "Alfa" in cut("no", "alfa", "beta") and "beta" not in cut("no", "alfa", "beta") and "beta" in cut("beta", "alfa")
+    assert cut("no")[0] == "p0" and cut()[0] == "p0" and 80 <= len(cut("alfa")) <= 400
+    assert one(spark, cleaning.truncate_around("t", F.lit(7), F.array(F.lit("a"))), t="a b") == "a b"
+
+
+def test_bootstrap_follows_the_rows(spark):
+    rows = spark.createDataFrame([(int(i % 3 == 0), int(i % 4 == 0)) for i in range(240)], "y int, p int")
+    r, point = ev.bootstrap_f1(rows, "y", "p").first(), ev.binary_macro_f1(rows, "y", "p").first()["macro_f1"]
+    assert r["samples"] == 1000 and abs(r["mean"] - point) < 0.01 and r["low"] < point < r["high"] and 0.02 < r["std"] < 0.05
+    assert ev.bootstrap_f1(rows.limit(0), "y", "p").first()["samples"] == 0
+
+
+def test_running_order_is_that_of_one_sort(spark):
+    df = spark.range(500).withColumn("n", F.col("id") % 7)
+    got = {r["id"]: r["_through"] for r in sp.running(df, "id", 3, F.col("n")).collect()}
+    total = 0
+    for r in df.orderBy(*sp.draw_order(3, "id")).collect():
+        total += r["n"]
+        assert got[r["id"]] == total
+
+
+def test_until_reached(spark):
+    rows = spark.createDataFrame([(d, k) for d in "abcdef" for k in (0, 1)], "d string, k int")
+    found = lambda a, b: sorted(r["d"] for r in sp.until_reached(rows, "d", {"x": (F.col("k") == 0, a), "y": (F.col("k") == 1, b)}).collect())
+    assert found(2, 3) == ["a", "b", "c"] and found(2, 99) == list("abcdef")
+
+
+def test_catalog(monkeypatch):
+    catalog = [inference.Entry("heuristic", "Reglas", "heuristic"), inference.Entry("gpt", "GPT", "llm_api", key="SOME_TEST_KEY")]
+    assert inference.resolve("gpt", catalog)[1:] == ("heuristic", "GPT [fallback heuristico]")
+    monkeypatch.setenv("SOME_TEST_KEY", "x")
+    assert inference.resolve("gpt", catalog)[1:] == ("llm_api", "GPT")
+    with pytest.raises(KeyError):
+        inference.resolve("no", catalog)
+
+
+def test_files_that_are_no_office_files(spark):
+    assert [readers.extract_doc(x)[1] for x in (b"", b"text", bytes(readers.MOST_BYTES + 1))] == [400, 400, 413]
+    files = spark.createDataFrame([("a", b"no"), ("b", None)], "path string, content binary")
+    assert readers.xlsx_sheets(files, ["x"]).count() == 0
+
+
+def test_paragraphs_in_sql_are_the_same(spark):
+    from lectern.functions.registered import register
+
+    register(spark)
+    texts = ["a\n\nb", "A\nuna línea\n" * 6, "Uno. Dos. " * 30, "", None, "  \n ", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] for r in rows.select(F.expr("split_paragraphs(t)") == sg.paragraphs("t")).collect())
+
+
 def test_rate_limit(spark):
     from collections import deque
 
@@ -151,7 +239,7 @@ def test_model_interface(spark):
         def complete(self, prompt):
             raise RuntimeError
 
-    bad = inference.ask(rows, "id", "t", Broken, "section", retries=1).collect()
+    bad = inference.ask(rows, "id", "t", Broken, "section", retries=1, at_once=2).collect()
     assert all(r["label"] == "ERROR" and r["confidence"] == 0.5 for r in bad)
 
 
