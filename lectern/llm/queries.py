@@ -170,12 +170,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 # 8 --------------------------------------------------------------------------------------------
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and items with the longest common run and the fewest word errors in 12 words (at most one)."""
+    """Documents and items with the longest common run and the least edit distance of 12 words (at most one)."""
     return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "gold_items", "item_id", "text"), run=12, errors=1)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).filter("longest_run >= 12").select("doc_id", "item_id")
+    return p8_leaks(spark, d).filter("errors = 0").select("doc_id", "item_id")
 
 
 # 9 --------------------------------------------------------------------------------------------

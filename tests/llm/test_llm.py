@@ -332,9 +332,11 @@ def test_myers_against_dynamic_programming():
     for _ in range(200):
         p, t = [rng.randrange(4) for _ in range(rng.randrange(1, 14))], [rng.randrange(4) for _ in range(rng.randrange(0, 30))]
         assert leakage.myers_distance(np.array(p), np.array(t, int)) == least(p, t)
+    p, t = np.random.default_rng(1).integers(0, 3, (300, 12)).astype(np.uint64), np.random.default_rng(2).integers(0, 3, (300, 14)).astype(np.uint64)
+    assert leakage.myers_distances(p, t).tolist() == [leakage.myers_distance(a, b) for a, b in zip(p, t)]
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(4)
     lead = "Lea con calma este texto y decida bien ahora mismo por favor si quiere hacerlo."
     body = {i: [rng.choice(WORDS) for _ in range(60)] for i in range(6)}
@@ -343,9 +345,13 @@ def test_leaks(spark):
     broken = broken[:20] + "-\n" + broken[20:]
     docs = [(1, "X " + broken.upper() + " y"), (2, "nada " + " ".join(body[1][3:14]) + " fin"), (3, lead), (4, ", ".join(body[5][10:30])), (5, None), (6, ""), (4, ", ".join(body[5][10:30])), (7, " ".join([*body[2][4:10], "otra", *body[2][11:17]]))]
     got = {(r["doc_id"], r["item_id"]): r for r in leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items).collect()}
-    exact = {k for k, r in got.items() if r["longest_run"] >= 12}
-    assert exact == {(1, 0), (4, 5)}
-    assert got[7, 2]["errors"] == 1 and got[2, 1]["longest_run"] == 11
+    assert {k for k, r in got.items() if r["errors"] == 0} == {k for k, r in got.items() if r["longest_run"] >= 12} == {(1, 0), (4, 5)}
+    assert got[7, 2]["errors"] == 1 and got[2, 1]["longest_run"] == 11 and got[4, 5]["longest_run"] == 20
+    monkeypatch.setattr(leakage, "MAX_ITEMS", 2)
+    monkeypatch.setattr(leakage, "WINDOWS", 3)
+    blocks = {(r["doc_id"], r["item_id"]): r for r in leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items).collect()}
+    assert blocks == got
+    assert leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items.limit(0)).count() == 0
 
 
 # 9 --------------------------------------------------------------------------------------------------
