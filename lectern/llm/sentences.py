@@ -1,8 +1,8 @@
 """Sentence units of texts in many languages and scripts, by cascading segmentation rules.
 
 A rule is a pair of regular expressions, for what stands before and after a position, and says break
-or no break.  Tables of rules follow one another: those every language shares, then those of the
-script the position stands in, then defaults.  The first rule that matches decides.  Positions are
+or no break.  Tables of rules follow one another: those every language shares, then those of the language (of the
+text for Latin letters, else of the script the position stands in), then defaults.  The first rule that matches decides.  Positions are
 those after an end mark (with its closing marks), after a line, and in scripts that have no end
 mark, after a space between two words of the script.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,26 @@ ABBREVIATIONS = {
     "hi": "डॉ प्रो श्री कु पं सं पृ",
     "th": "ดร ศ รศ ผศ นาย พ.ศ ค.ศ น.ส",
 }
+#: Closed-class words of the languages in Latin letters.  They tell the language of a text, a capital one after an
+#: abbreviation begins a sentence, and no heading begins or ends with one.
+CLOSED = {
+    "es": "el la los las lo un una unos unas de del al a ante con contra desde durante en entre hacia hasta para por según sin sobre tras y e o u ni que se su sus no cada si como cuando pero pues aunque este esta estos estas ese esa es son fue hubo muy más también porque donde",
+    "en": "the a an of to in for with by from between among into through during against about over under after before and or but nor neither either both some any each every all no not that this these those which who it its we our they their he she his her is are was were be been has have had at on as if when while because however there here such",
+    "pt": "o os as um uma uns umas de do da dos das no na nos nas ao aos em para por com sem sobre entre e ou nem mas que se seu sua não como quando foi são é muito mais também este esta esse essa pelo pela",
+    "fr": "le la les un une des du de au aux et ou ni mais dans en sur sous par pour avec sans entre que qui dont où se ce cet cette ces son sa ses leur il elle ils elles on nous est sont été ne pas plus comme si chaque",
+    "de": "der die das den dem des ein eine einer einem einen und oder aber nicht in im an am auf aus bei mit nach von vom zu zum zur für über unter durch als wie wenn dass sich es er sie wir ist sind war wurde wurden auch noch nur",
+}
+_KNOWN = {k: frozenset(v.split()) for k, v in CLOSED.items()}
+_BOUND = frozenset().union(*_KNOWN.values())
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def language(text: str) -> str:
+    """The language in Latin letters whose closed-class words are most frequent in the whole text; Spanish if none are."""
+    counts = Counter(_WORD.findall(text.lower()))
+    return max(_KNOWN, key=lambda k: sum(n for w, n in counts.items() if w in _KNOWN[k]))
+
+
 #: Abbreviations that only go on before a number, a bracket or a small letter.
 NUMERIC = "no nos núm num fig figs tab ec eq vol p pp pág art arts cap caps sec séc ed eds n nº ch chap"
 _UPPER_INITIAL = r"(?:^|[\s(«“\"'‘\[—–-])[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
@@ -60,15 +81,27 @@ COMMON: list[Rule] = [
     _rule(True, r"\.", rf"\s+(?:{_MIXED})"),
     _rule(True, r"(?:[a-zß-öø-ÿа-яёα-ωά-ώ]{3}|\d)[.!?]" + _CLOSE + "*", r"[¿¡«“]?[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёα-ωά-ώ]|[¿¡«“]"),  # the space is missing
 ]
-LATIN: list[Rule] = [
+def _starters(lang: str) -> str:
+    """No closed-class word with a capital: it would begin a sentence."""
+    return rf"(?!(?:{'|'.join(sorted(w.capitalize() for w in CLOSED[lang].split()))})\b)"
+
+
+#: One table for each language in Latin letters, then those all of them share.
+SPANISH: list[Rule] = [
     _rule(False, rf"{_WORD_START}(?:a|d)\.", r"\s*C\."),
     _rule(False, rf"{_WORD_START}p\.", r"\s*ej\."),
     _rule(False, rf"{_WORD_START}(?:EE|RR|FF|JJ|CC)\.", r"\s*[A-Z]{2}\."),
-    _rule(False, rf"{_WORD_START}(?i:{_any(' '.join(ABBREVIATIONS[k] for k in ('es', 'pt')))})\.", r"\s"),
-    _rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['en'] + ' Fig Figs Eq Eqs Tab Vol Sec Ch Chap')})\.", r"\s+(?=[\d(\[A-Za-z])(?!(?:The|This|In|It|We|For|And|But|Some|Neither)\b)"),
-    _rule(False, rf"{_WORD_START}(?:i\.\s?e|e\.\s?g|cf|viz|al|vs|approx|aprox)\.", r"\s"),
-    _rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['fr'])})\.", r"\s+(?=[\d(A-ZÀ-Þa-z])(?!(?:Le|La|Les|Un|Une|Il|En|Sur|Pour)\b)"),
-    _rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['de'])})\.", r"\s+(?=[\da-z(])"),
+    _rule(False, rf"{_WORD_START}(?i:{_any(ABBREVIATIONS['es'])})\.", r"\s"),
+]
+PORTUGUESE: list[Rule] = [_rule(False, rf"{_WORD_START}(?:a|d)\.", r"\s*C\."), _rule(False, rf"{_WORD_START}p\.", r"\s*ex\."), _rule(False, rf"{_WORD_START}(?i:{_any(ABBREVIATIONS['pt'])})\.", r"\s")]
+ENGLISH: list[Rule] = [_rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['en'] + ' Fig Figs Eq Eqs Tab Vol Sec Ch Chap')})\.", rf"\s+(?=[\d(\[A-Za-z]){_starters('en')}")]
+FRENCH: list[Rule] = [_rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['fr'])})\.", rf"\s+(?=[\d(A-ZÀ-Þa-z]){_starters('fr')}")]
+GERMAN: list[Rule] = [_rule(False, rf"{_WORD_START}(?:{_any(ABBREVIATIONS['de'])})\.", rf"\s+(?=[\d(A-ZÄÖÜa-zäöü]){_starters('de')}")]
+#: Titles before a name, in any of these languages.
+_TITLES = "Dr Dra Sr Sra Srta Prof Profa Mr Mrs Ms St Mme Mlle Hr Lic Ing"
+LATIN: list[Rule] = [
+    _rule(False, rf"{_WORD_START}(?i:{_any(_TITLES)})\.", r"\s+[A-ZÀ-Þ]"),
+    _rule(False, rf"{_WORD_START}(?i:i\.\s?e|e\.\s?g|cf|viz|al|vs|approx|aprox)\.", r"\s"),
     _rule(False, rf"{_WORD_START}(?i:{_any(NUMERIC)})\.", r"\s+[\d(\[IVXLC]"),
     _rule(False, _UPPER_INITIAL + r"\.", r"\s+[A-ZÀ-Þ]"),
 ]
@@ -83,24 +116,23 @@ ARABIC: list[Rule] = [_rule(False, rf"(?:^|\s)[وبلفك]?(?:{_any(ABBREVIATION
 INDIC: list[Rule] = [_rule(False, rf"(?:^|\s)(?:{_any(ABBREVIATIONS['hi'])}|[ऀ-ॿ]{{1,2}})\.", r"\s"), _rule(False, r"[ऀ-ॿ]\.", r"\s+[ऀ-ॿ]")]
 THAI: list[Rule] = [_rule(False, rf"(?:{_any(ABBREVIATIONS['th'])})\.", r"\s*"), _rule(False, r"(?:^|\s)[ก-ฮ]{1,3}\.", r"\s*")]
 DEFAULT: list[Rule] = [
-    _rule(True, r"[。！？｡．।॥]" + _CLOSE + "*", r""),
+    _rule(True, r"[。！？｡．।॥።፧၊။។៕།]" + _CLOSE + "*", r""),
+    _rule(True, r"[۔։]" + _CLOSE + "*", r"\s|$"),
     _rule(True, r"[؟]" + _CLOSE + "*", r"\s|$"),
     _rule(True, r"[぀-ヿ㐀-鿿가-힣％%\d][!?]" + _CLOSE + "*", r"\s*[぀-ヿ㐀-鿿가-힣\dA-Z]"),
     _rule(False, r"[.!?…]" + _CLOSE + "*", rf"\s+{_OPEN}*{_SMALL}"),
     _rule(False, r"[.!?…]" + _CLOSE + "*", r"\s+[,;:)\]]"),
     _rule(True, r"[.!?…]" + _CLOSE + "*", r"\s"),
 ]
-_TABLES = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK, "arabic": ARABIC, "indic": INDIC, "thai": THAI}
+_LATIN = {"es": SPANISH + LATIN, "pt": PORTUGUESE + LATIN, "en": ENGLISH + LATIN, "fr": FRENCH + LATIN, "de": GERMAN + LATIN}
+_TABLES = {"cyrillic": CYRILLIC, "greek": GREEK, "arabic": ARABIC, "indic": INDIC, "thai": THAI}
 _GREEK_QUESTION: Rule = _rule(True, r"[;;]" + _CLOSE + "*", r"\s")
 
 #: Where a unit may end.
-_PLACE = re.compile(rf"[.!?…؟।॥。！？｡．;]+{_CLOSE}*(?=\s|$|[^\s\d.,;:!?\-/@_%&=+])|(?<=[฀-๿])[ \t]+(?=[฀-๿])|\s*\n\s*")
-_QUOTED = re.compile(r"«[^«»]{0,600}»|“[^“”]{0,600}”|„[^„“]{0,600}“|「[^「」]{0,600}」|『[^『』]{0,600}』|《[^《》]{0,300}》|\([^()]{0,300}\)|（[^（）]{0,300}）|(?<![^\s(])\"[^\"\n]{0,400}\"(?![^\s.,;:!?)])")
-#: Words that a heading does not begin or end with.
-_BOUND = frozenset(
-    "el la los las lo un una unos unas de del al a ante con contra desde durante en entre hacia hasta para por según sin sobre tras y e o u ni que se su sus no cada hubo si como cuando pero pues aunque the an of to in for with by from between among neither nor and or at on as that which le les des du au aux et ou dans sur sous par pour avec entre ni que se o os as um uma do da dos das no na nos nas em para por com sem entre nem que ao dr dra sr sra prof villa puerto serie equipo".split()
-)
-_ENDED = re.compile(rf"[.!?…؟।॥。！？｡;:,،、，；：—–]{_CLOSE}*$")
+_PLACE = re.compile(rf"[.!?…؟।॥。！？｡．;۔։።፧။។៕།]+{_CLOSE}*(?=\s|$|[^\s\d.,;:!?\-/@_%&=+])|(?<=[฀-๿])[ \t]+(?=[฀-๿])|\s*\n\s*")
+_IN = r"(?:[^{}\n]|\n(?![ \t]*\n))*"  # a quotation ends with its paragraph at the latest
+_QUOTED = re.compile("|".join([*(o + _IN.replace("{}", o + c) + c for o, c in ("«»", "“”", "„“", "「」", "『』", "《》", "（）")), r"\(" + _IN.replace("{}", "()") + r"\)", r"(?<![^\s(])\"[^\"\n]*\"(?![^\s.,;:!?)])"]))
+_ENDED = re.compile(rf"[.!?…؟।॥。！？｡۔։።፧။។៕།;:,،、，；：—–]{_CLOSE}*$")
 
 
 def _script(text: str, pos: int) -> str:
@@ -117,17 +149,25 @@ def _script(text: str, pos: int) -> str:
                 return "arabic"
             if 0x900 <= cp < 0xE00:
                 return "indic"
+            if 0x530 <= cp < 0x590:
+                return "armenian"
             if 0xE00 <= cp < 0xE80:
                 return "thai"
             return "other"
     return "latin"
 
 
+#: What makes a line a heading: at most so many characters and words.  Longer lines without an end mark belong to a sentence.
+HEADING_CHARS, HEADING_WORDS = 90, 10
+#: Characters before and after a place that rules look at; no rule reaches further.
+BEFORE, AFTER = 60, 24
+
+
 def _is_heading(line: str, following: str) -> bool:
     """A line that is a heading by itself: short, not ended, no part of a sentence that goes on."""
     line = line.strip()
-    words = re.findall(r"[^\W\d_]+", line)
-    if not words or len(line) > 90 or len(words) > 10 or _ENDED.search(line):
+    words = _WORD.findall(line)
+    if not words or len(line) > HEADING_CHARS or len(words) > HEADING_WORDS or _ENDED.search(line):
         return False
     first = re.sub(r"^(?:[\d.]+[.)]?|[IVXLC]+[.)]|[#*•-]+)\s*", "", line) or line
     if first[:1].islower() and not line[:1].isdigit() or words[0].lower() in _BOUND or words[-1].lower() in _BOUND:
@@ -146,6 +186,7 @@ def unit_ends(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     start, q = 0, 0
     size = len(text)
+    spoken: list[Rule] | None = None  # the rules of the text's language, once they are asked for
 
     def close(end: int, nxt: int) -> None:
         nonlocal start
@@ -188,8 +229,8 @@ def unit_ends(text: str) -> list[tuple[int, int]]:
             close(m.start(), end)
             continue
         script = _script(text, m.start())
-        before, after = text[max(start, end - 60) : end], text[end : end + 24]
-        if max(start, end - 60) > start:
+        before, after = text[max(start, end - BEFORE) : end], text[end : end + AFTER]
+        if max(start, end - BEFORE) > start:
             before = " " + before  # so that ^ stands for the unit's start only
         if not after.strip():
             close(end, size)
@@ -198,7 +239,9 @@ def unit_ends(text: str) -> list[tuple[int, int]]:
             if script == "greek" and _GREEK_QUESTION[2].match(after):
                 close(end, end)
             continue
-        for is_break, left, right in (*COMMON, *_TABLES.get(script, ()), *DEFAULT):
+        if script == "latin" and spoken is None:
+            spoken = _LATIN[language(text)]
+        for is_break, left, right in (*COMMON, *(spoken if script == "latin" else _TABLES.get(script, ())), *DEFAULT):
             if left.search(before) and right.match(after):
                 if is_break:
                     close(end, end)
