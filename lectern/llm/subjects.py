@@ -72,8 +72,8 @@ class SubjectModel:
     chain: np.ndarray  # a row an area in that order: weights of features, of labels before, and bias
     sources: dict[str, np.ndarray]
     beam: int = 8
-    #: Papers in which a smaller part of the running sentences bears a subject have none.
-    least_bearing: float = 0.33
+    #: Papers in which a smaller part of the running sentences bears a subject have none: learned, see ``BELOW``.
+    least_bearing: float = 0.0
 
     def has_subject(self, scores: np.ndarray) -> bool:
         """Whether enough of a document's running sentences bear a subject."""
@@ -104,20 +104,21 @@ class SubjectModel:
         counts = np.bincount(best[sure], minlength=k)
         share = counts / max(n, 1)
         prior = self.sources.get(source or "", self.sources.get("", np.zeros(k)))
-        return np.concatenate((share, np.minimum(share, 0.2) * 5, prior, [np.log1p(n), np.log1p(len(scores)), other / (other + len(scores) + 1.0), float(n == 0)]))
+        terms = np.maximum(scores, 0).mean(0) if len(scores) else np.zeros(k)
+        return np.concatenate((share, np.minimum(share, 0.2) * 5, prior, terms, [np.log1p(n), np.log1p(len(scores)), other / (other + len(scores) + 1.0), float(n == 0)]))
 
     def decode(self, x: np.ndarray) -> list[int]:
         """The most probable combination of labels, by beam search along the chain."""
         k, m = len(self.areas), x.size
         order = np.array(self.order)
-        own = np.concatenate((x[order[:, None] + [0, k, 2 * k]], np.broadcast_to(x[m - 4 :], (k, 4))), 1)
-        base = ((own * self.chain[:, :7]).sum(1) + self.chain[:, -1]).tolist()
+        own = np.concatenate((x[order[:, None] + [0, k, 2 * k, 3 * k]], np.broadcast_to(x[m - 4 :], (k, 4))), 1)
+        base = ((own * self.chain[:, :8]).sum(1) + self.chain[:, -1]).tolist()
         beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]  # log-probability, steps labelled yes
         for step in range(k):
             row = self._rows()[step]
             grown = []
             for logp, given in beams:
-                z = max(-30.0, min(30.0, base[step] + sum([row[7 + j] for j in given])))
+                z = max(-30.0, min(30.0, base[step] + sum([row[8 + j] for j in given])))
                 no = math.log1p(math.exp(z))
                 if z > -12:  # below, yes is less likely than 1e-5
                     grown.append((logp + z - no, (*given, step)))
@@ -145,6 +146,51 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int =
     return w
 
 
+#: The part of the labelled documents, of words the model knows, that has a smaller share of subject-bearing sentences than is asked for.
+BELOW = 0.01
+#: Parts of the labelled documents that are scored by weights from the others.
+FOLDS = 5
+
+
+def _term_weights(y: np.ndarray, owner: np.ndarray, rows: np.ndarray, cols: np.ndarray, n_terms: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each term for each area, terms that count) by expectation-maximization.
+
+    y: labels of documents; owner: document of each sentence; rows, cols: which term stands in which sentence.
+    """
+    k = y.shape[1]
+    allowed = np.concatenate((y[owner], np.ones((owner.size, 1))), 1)  # the last class is none
+    post = allowed * np.concatenate((np.full(k, 0.9), [0.1]))
+    post /= post.sum(1, keepdims=True)
+    for _ in range(rounds):
+        # M-step: how often each term stands in sentences of each class
+        mass = np.zeros((n_terms, k + 1))
+        for c in range(k + 1):
+            mass[:, c] = np.bincount(cols, post[rows, c], minlength=n_terms)
+        total = post.sum(0)
+        p = (mass + 0.05) / (total + 1.0)
+        spread = (mass.sum(1, keepdims=True) + 0.05 * (k + 1)) / (total.sum() + k + 1)
+        gain = np.clip(np.log(p / spread), -4, 4)
+        # E-step
+        logp = np.zeros((owner.size, k + 1))
+        for c in range(k + 1):
+            logp[:, c] = np.bincount(rows, gain[cols, c], minlength=owner.size)
+        logp += np.log(total / total.sum() + 1e-9)
+        logp = np.where(allowed > 0, logp, -np.inf)
+        logp -= logp.max(1, keepdims=True)
+        post = np.exp(logp)
+        post /= post.sum(1, keepdims=True)
+    area_mass = mass[:, :k]
+    n = mass.sum(1)
+    part = (area_mass + 0.02) / (n[:, None] + 0.02 * (k + 1) + 0.3)
+    base = np.clip(total[:k] / total.sum(), 1e-6, 0.9)
+    weight = np.log(part / base) / np.log(1 / base)  # 1: the term stands in this area only
+    # a term must stand in two documents, however many are labelled, or the names of persons and places would count
+    held = np.unique(np.stack((cols, owner[rows]), 1), axis=0)[:, 0]
+    several = np.bincount(held, minlength=n_terms) >= 2
+    keep = several & (part.max(1) >= 0.5)
+    return np.clip(weight, -1, 1), keep
+
+
 def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], areas: list[str], *, rounds: int = 8, cutoff: float = 0.65, beam: int = 8) -> SubjectModel:
     """Train on labelled documents; without any, a model that gives no document an area."""
     k = len(areas)
@@ -161,7 +207,7 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
         owner += [i] * len(got)
         others.append(other)
     owner = np.array(owner, int)
-    model = SubjectModel(areas, np.zeros(0, np.uint64), np.zeros((0, k)), cutoff, list(range(k)), np.zeros((k, 8 + k)), {}, beam)
+    model = SubjectModel(areas, np.zeros(0, np.uint64), np.zeros((0, k)), cutoff, list(range(k)), np.zeros((k, 9 + k)), {}, beam)
     if not sentences:
         model.chain[:, -1] = -30
         return model
@@ -175,38 +221,8 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
         cols.append(codes[new])
     rows, codes = np.concatenate(rows), np.concatenate(cols)
     terms, cols = np.unique(codes, return_inverse=True)
-    allowed = np.concatenate((y[owner], np.ones((owner.size, 1))), 1)  # the last class is none
-    allowed[:, :k] *= 1.0
-    post = allowed * np.concatenate((np.full(k, 0.9), [0.1]))
-    post /= post.sum(1, keepdims=True)
-    for _ in range(rounds):
-        # M-step: how often each term stands in sentences of each class
-        mass = np.zeros((terms.size, k + 1))
-        for c in range(k + 1):
-            mass[:, c] = np.bincount(cols, post[rows, c], minlength=terms.size)
-        total = post.sum(0)
-        p = (mass + 0.05) / (total + 1.0)
-        spread = (mass.sum(1, keepdims=True) + 0.05 * (k + 1)) / (total.sum() + k + 1)
-        gain = np.clip(np.log(p / spread), -4, 4)
-        # E-step
-        logp = np.zeros((len(sentences), k + 1))
-        for c in range(k + 1):
-            logp[:, c] = np.bincount(rows, gain[cols, c], minlength=len(sentences))
-        logp += np.log(total / total.sum() + 1e-9)
-        logp = np.where(allowed > 0, logp, -np.inf)
-        logp -= logp.max(1, keepdims=True)
-        post = np.exp(logp)
-        post /= post.sum(1, keepdims=True)
-    area_mass = mass[:, :k]
-    n = mass.sum(1)
-    part = (area_mass + 0.02) / (n[:, None] + 0.02 * (k + 1) + 0.3)
-    base = np.clip(total[:k] / total.sum(), 1e-6, 0.9)
-    weight = np.log(part / base) / np.log(1 / base)  # 1: the term stands in this area only
-    # a term must stand in two documents, however many are labelled, or the names of persons and places would count
-    held = np.unique(np.stack((cols, owner[rows]), 1), axis=0)[:, 0]
-    several = np.bincount(held, minlength=terms.size) >= 2
-    keep = several & (part.max(1) >= 0.5)
-    model.terms, model.weights = terms[keep], np.clip(weight[keep], -1, 1)
+    weights, keep = _term_weights(y, owner, rows, cols, terms.size, rounds)
+    model.terms, model.weights = terms[keep], weights[keep]
     counts = y.sum(0)
     model.order = [int(i) for i in np.argsort(-counts, kind="stable")]
     smooth = (counts + 1) / (len(texts) + 2)
@@ -214,12 +230,29 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
     for s in {s for s in sources if s}:
         at = [i for i, x in enumerate(sources) if x == s]
         model.sources[s] = np.log((y[at].sum(0) + 20 * smooth) / (len(at) + 20))
-    scores = model.sentence_scores(sentences)
-    x = np.array([model.features(scores[owner == i] if len(texts) < 200 else scores[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")], others[i], sources[i]) for i in range(len(texts))])
+    # the chain learns from scores that a document had no part in: those of weights from the other folds
+    fold = np.arange(len(texts)) % FOLDS
+    scores = np.zeros((len(sentences), k))
+    for f in range(FOLDS):
+        inside = fold[owner] != f
+        number = np.cumsum(inside) - 1
+        taken = inside[rows]
+        if not taken.any() or taken.all():
+            continue
+        w, kept = _term_weights(y, owner[inside], number[rows[taken]], cols[taken], terms.size, rounds)
+        w = np.where(kept[:, None], w, 0)
+        r, c = rows[~taken], cols[~taken]
+        for a in range(k):
+            scores[:, a] += np.bincount(r, w[c, a], minlength=len(sentences))
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    bearing = np.add.reduceat(np.append(scores.max(1) >= cutoff, False).astype(float), ends[:-1]) * (np.diff(ends) > 0) / np.maximum(np.diff(ends), 1)
+    if (bearing > 0).any():
+        model.least_bearing = float(np.quantile(bearing[bearing > 0], BELOW))
+    x = np.array([model.features(scores[ends[i] : ends[i + 1]], others[i], sources[i]) for i in range(len(texts))])
     m = x.shape[1]
     # one set of feature weights serves all areas (a share means the same in each); each has its own bias and labels before it
-    shared = [np.concatenate((x[:, [a, a + k, a + 2 * k]], x[:, m - 4 :], np.ones((len(x), 1))), 1) for a in range(k)]
-    ridge = np.array([0.02, 0.02, 1, 1, 1, 1, 1, 0.01])
+    shared = [np.concatenate((x[:, [a, a + k, a + 2 * k, a + 3 * k]], x[:, m - 4 :], np.ones((len(x), 1))), 1) for a in range(k)]
+    ridge = np.array([0.02, 0.02, 1, 0.1, 1, 1, 1, 1, 0.01])
     common = _fit_logistic(np.concatenate(shared), np.concatenate([y[:, a] for a in range(k)]), ridge)
     for step, a in enumerate(model.order):
         before = y[:, model.order[:step]]
@@ -230,9 +263,9 @@ def fit(texts: list[str], sources: list[str | None], labels: list[list[str]], ar
         start[-1] = 1.0
         w = start + _fit_offset(design, y[:, a], offset, strength)
         scale = w[-1]
-        model.chain[step, :7] = common[:7] * scale
-        model.chain[step, 7 : 7 + step] = w[:step]
-        model.chain[step, -1] = common[7] * scale + w[step]
+        model.chain[step, :8] = common[:8] * scale
+        model.chain[step, 8 : 8 + step] = w[:step]
+        model.chain[step, -1] = common[8] * scale + w[step]
     return model
 
 
