@@ -147,7 +147,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, rounds: int =
 
 
 #: The part of the labelled documents, of words the model knows, that has a smaller share of subject-bearing sentences than is asked for.
-BELOW = 0.01
+BELOW = 0.005
 #: Parts of the labelled documents that are scored by weights from the others.
 FOLDS = 5
 
