@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.runtime import materialize
@@ -360,7 +361,7 @@ def count_bigrams(values: DataFrame) -> np.ndarray:
 
     values has one string column.  The model has 2**18 buckets whatever the corpus.
     """
-    size, slices = 1 << _BITS, 8
+    size, slices, groups = 1 << _BITS, 8, 64
     step = size // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,18 +378,22 @@ def count_bigrams(values: DataFrame) -> np.ndarray:
                     part, length = [], 0
             if part:
                 total += np.bincount(_bigrams(" ".join(part)), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(slices)], pa.binary())], names=["slice", "counts"])
+        group = TaskContext.get().partitionId() % groups
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([group] * slices, pa.int32()), pa.array([total[k * step : (k + 1) * step].tobytes() for k in range(slices)], pa.binary())], names=["slice", "part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 x = np.frombuffer(blob, np.int64)
                 sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "part", "counts"])
 
     total = np.zeros(size, np.int64)
-    for row in values.mapInArrow(count, "slice int, counts binary").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary").collect():
+    kind = "slice int, part int, counts binary"
+    # in two steps, so that no task adds up what all tasks of the scan have counted
+    some = values.mapInArrow(count, kind).repartition(groups, "slice", "part").mapInArrow(add, kind)
+    for row in some.repartition(slices, "slice").mapInArrow(add, kind).collect():
         total[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(bytes(row["counts"]), np.int64)
     return np.log((total + 0.05) / (total.sum() + 0.05 * size)).astype(np.float32)
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lectern.llm.hash_budget import random_key, take_budget
+from lectern.llm.hash_budget import histogram, random_key, take_budget
 from lectern.llm.keys import plain
 from lectern.runtime import materialize
 
@@ -41,15 +41,23 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, source_col: str, voc
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")).mapInArrow(run, "id long, source string, tokens long")
 
 
-def mix_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def token_sums(sizes: DataFrame, seed: int = 42) -> DataFrame:
+    """Tokens by source and hash bucket of (id, source, tokens), as a written table of at most 4,096 rows a source.
+
+    Repeated rows of an id must have been removed; rows without a source have the empty key.
+    """
+    rows = sizes.select(F.coalesce(plain("source"), F.lit("")).alias("key"), "tokens", random_key(seed, "id").alias("at"))
+    return materialize(histogram(rows, ["key"], "at", "tokens"), "mix-sums")
+
+
+def mix_report(sums: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target (mix_id, source): wanted tokens, size of the source, copies of everything, rest and short.
 
-    sizes: (id, source, tokens).  copies: how often every record is taken; rest: tokens still to be taken
+    sums: as by ``token_sums``.  copies: how often every record is taken; rest: tokens still to be taken
     once more; short: whether the source cannot reach its target with max_repeats.  A source that
     has no records is short; rows without a source count in the whole, and belong to no source.
     """
-    by = sizes.groupBy(F.coalesce(plain("source"), F.lit("")).alias("key")).agg(F.sum("tokens").alias("size"))
-    by = materialize(by, "mix-sizes")
+    by = sums.groupBy("key").agg(F.sum("_sum").alias("size"))
     whole = by.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("whole"))
     asked = targets.withColumn("key", plain("source")).join(by.filter("key <> ''"), "key", "left").join(F.broadcast(whole))
     size, most = F.coalesce("size", F.lit(0)), F.col("max_repeats")
@@ -66,15 +74,14 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, *, seed: int = 42) -> tupl
 
     Every record of a source is taken ``copies`` times, and those below a hash threshold once more; the
     threshold is found from sums by hash bucket (see ``take_budget``), nested for growing budgets.
-    No record is taken more than max_repeats times.
+    No record is taken more than max_repeats times.  One histogram a source serves every mix.
     """
     sizes = materialize(sizes.dropDuplicates(["id"]), "mix-tokens")
-    report = materialize(mix_report(sizes, targets), "mix-report")
-    rows = sizes.select("id", plain("source").alias("key"), "tokens").filter("key <> ''")
+    sums = token_sums(sizes, seed)
+    report = materialize(mix_report(sums, targets), "mix-report")
+    rows = sizes.select("id", plain("source").alias("key"), "tokens").filter("key <> ''").withColumn("at", random_key(seed, "id"))
     asked = report.filter("copies < max_repeats and rest > 0").select("mix_id", "key", "rest")
-    # one histogram a source serves every mix: only its thresholds differ
-    pool = rows.join(asked.select("mix_id", "key"), "key").withColumn("at", random_key(seed, "id"))
-    extra = take_budget(pool, ["mix_id", "key"], "at", "tokens", asked, "rest").select("mix_id", "key", "id", F.lit(1).alias("copies"))
+    extra = take_budget(rows, ["mix_id", "key"], "at", "tokens", asked, "rest", sums.filter("key <> ''")).select("mix_id", "key", "id", F.lit(1).alias("copies"))
     base = rows.join(report.filter("copies > 0").select("mix_id", "key", "copies"), "key").select("mix_id", "key", "id", "copies")
     chosen = base.unionByName(extra).groupBy("mix_id", "key", "id").agg(F.sum("copies").cast("int").alias("copies"))
     return chosen.join(report.select("mix_id", "key", "source"), ["mix_id", "key"]).select("mix_id", "source", "id", "copies"), report

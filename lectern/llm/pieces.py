@@ -105,10 +105,10 @@ def marked(nxt: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def cut_text(text: str, max_words: int, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(char_start, char_end, word_count) of the pieces of a text, in order; none for a blank text."""
+    """(char_start, char_end, word_count) of the pieces of a text, in order; a text of white space alone is cut at the limit."""
     start, end, kind, word = units(text)
     if not start.size:
-        return []
+        return [(a, min(a + max_chars, len(text)), 0) for a in range(0, len(text), max_chars)]
     cut, nxt = successors(start, end, kind, word, max_words, max_chars, overlap)
     out = []
     for i in marked(nxt, np.array([0])).tolist():
@@ -126,7 +126,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, *, max_words: int
     """The pieces of every item over the limits; items within them, null and empty ones give no row.
 
     char_start and char_end (exclusive) count code points of the item's text, and
-    ``text == item[char_start:char_end]``; word_count is that of the piece.  Consecutive pieces share
+    ``text == item[char_start:char_end]``; word_count is that of the piece (0 in a text of white space alone).  Consecutive pieces share
     ``overlap`` words; where words are long, as in scripts without spaces, no more than the same share
     of max_chars as overlap is of max_words.  Pieces end at a
     paragraph, else a sentence, a clause or a word in the second half of the room they have, and inside

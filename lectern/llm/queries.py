@@ -184,7 +184,8 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(_tokens(spark, d), table(spark, d, "mix_targets")).filter("short").select("mix_id", "source")
+    sums = mixing.token_sums(_tokens(spark, d).dropDuplicates(["id"]))
+    return mixing.mix_report(sums, table(spark, d, "mix_targets")).filter("short").select("mix_id", "source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

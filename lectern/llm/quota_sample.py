@@ -91,12 +91,15 @@ def quota_sample(rows: DataFrame, id_col: str, targets: DataFrame, *, seed: int
 
     Rows of equal id must be equal in their categories and count once.
     """
-    rows = materialize(rows.select(F.col(id_col).alias("id"), *CATEGORIES).dropDuplicates(["id"]), "quota-rows")
-    report = materialize(quota_report(rows, targets), "quota-report")
+    rows = materialize(_keys(rows.select(F.col(id_col).alias("id"), *CATEGORIES).dropDuplicates(["id"])).select("id", *CATEGORIES, *[f"_{c}" for c in CATEGORIES]), "quota-rows")
+    report = materialize(quota_report(rows.select("id", *CATEGORIES), targets), "quota-report")
     wanted = _target_keys(targets).join(report.filter("quota > 0").select("target_id", "quota"), "target_id")
+    # which targets a combination of categories belongs to is settled among the combinations; rows only look it up
+    own = [f"_{c}" for c in CATEGORIES]
     masks = F.array(*[F.struct(*[(F.lit(_ANY) if m else F.col(f"_{c}")).alias(f"k_{c}") for c, m in zip(CATEGORIES, mask)]) for mask in itertools.product((False, True), repeat=len(CATEGORIES))])
-    keyed = _keys(rows).select("id", F.explode(masks).alias("k")).select("id", "k.*")
-    matched = keyed.join(wanted.select("plan_id", "target_id", *[f"k_{c}" for c in CATEGORIES]), [f"k_{c}" for c in CATEGORIES])
+    combinations = rows.select(*own).distinct().select(*own, F.explode(masks).alias("k")).select(*own, "k.*")
+    belongs = combinations.join(wanted.select("plan_id", "target_id", *[f"k_{c}" for c in CATEGORIES]), [f"k_{c}" for c in CATEGORIES]).select(*own, "plan_id", "target_id")
+    matched = rows.select("id", *own).join(belongs, own)
     matched = matched.select("plan_id", "target_id", "id", F.lit(1).alias("one")).withColumn("key", random_key(seed, "target_id", "id"))
     budget = report.select("plan_id", "target_id", "quota")
     return take_budget(matched, ["plan_id", "target_id"], "key", "one", budget, "quota").select("plan_id", "target_id", "id"), report

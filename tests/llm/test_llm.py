@@ -100,6 +100,25 @@ def test_take_budget_is_a_prefix(spark):
     order = sorted((r["_k"], r["id"], r["size"]) for r in rows.filter("g = 'a'").withColumn("_k", F.expr("shiftrightunsigned(key, 52)")).collect())
     taken = sum(s for _, i, s in order if i in got)
     assert 90 <= taken <= 100 and all(i % 3 for i in got)
+    # groups that share a pool: each takes a prefix of one order, the larger budget all that the smaller does
+    pool = rows.withColumn("g", F.lit("one"))
+    shared = hash_budget.take_budget(pool, ["mix", "g"], "key", "size", spark.createDataFrame([(1, "one", 50), (2, "one", 500), (3, "one", 10_000)], "mix int, g string, budget long"), "budget")
+    by = {m: {r["id"] for r in shared.filter(F.col("mix") == m).collect()} for m in (1, 2, 3)}
+    assert by[1] < by[2] < by[3] and len(by[3]) == 300
+    sizes = {r["id"]: r["size"] for r in pool.collect()}
+    assert 46 <= sum(sizes[i] for i in by[1]) <= 50 and 496 <= sum(sizes[i] for i in by[2]) <= 500
+
+
+def test_quota_sample_takes_the_smallest_keys(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 2 else "b", "x", "y") for i in range(200)], "fragment_id long, contr_type string, tarea1_label string, tarea2_role string")
+    targets = spark.createDataFrame([(1, 1, "a", None, None, 0.5, 5, 30), (2, 1, "b", None, None, 0.5, 5, 30)], "target_id int, plan_id int, contr_type string, tarea1_label string, tarea2_role string, target_share double, min_rows int, sample_rows int")
+    got = {}
+    for r in quota_sample.quota_sample(rows, "fragment_id", targets)[0].collect():
+        got.setdefault(r["target_id"], set()).add(r["id"])
+    for target, odd in ((1, 1), (2, 0)):
+        keys = rows.filter(F.col("fragment_id") % 2 == odd).select("fragment_id", F.xxhash64(F.lit(42), F.lit(target), "fragment_id").alias("k")).collect()
+        want = sorted(keys, key=lambda r: r["k"] % 2**64)[:15]
+        assert got[target] == {r["fragment_id"] for r in want}
 
 
 # 3 --------------------------------------------------------------------------------------------------
@@ -129,6 +148,8 @@ def test_pieces_of_table(spark):
     got = pieces.split_oversized(rows.withColumn("text_", F.lit(1)), "fragment_id", "text").collect()
     assert {r["id"] for r in got} == {4} and len(got) == got[0]["piece_count"] == 2
     assert pieces.split_oversized(rows.limit(0), "fragment_id", "text").count() == 0
+    blank = pieces.split_oversized(fragments(spark, [(1, " " * 10_001), (2, " " * 9_000)]), "fragment_id", "text").collect()
+    assert [(r["id"], r["char_start"], r["char_end"], r["word_count"]) for r in sorted(blank, key=lambda r: r["char_start"])] == [(1, 0, 10_000, 0), (1, 10_000, 10_001, 0)]
 
 
 # 4 --------------------------------------------------------------------------------------------------
@@ -359,6 +380,7 @@ def test_mixing(spark):
     sizes = spark.createDataFrame([(i, "Big Source" if i < 100 else "small", 10) for i in range(110)] + [(500, None, 1000), (0, "Big Source", 10)], "id long, source string, tokens long")
     targets = spark.createDataFrame([(1, "big_source", 0.5, 2, 0.5), (1, "small", 0.3, 3, 0.5), (1, "absent", 0.2, 9, 0.5)], "mix_id int, source string, target_share double, max_repeats int, budget_ratio double")
     selection, report = mixing.mix_sources(sizes, targets)
+    assert {r["source"] for r in mixing.mix_report(mixing.token_sums(sizes.dropDuplicates(["id"])), targets).filter("short").collect()} == {"small", "absent"}
     by = {r["source"]: r for r in report.collect()}
     assert by["small"]["short"] and by["absent"]["short"] and not by["big_source"]["short"]
     shares = {r["source"]: r["taken"] for r in mixing.mix_shares(sizes, selection, report).collect()}
