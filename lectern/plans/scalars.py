@@ -102,10 +102,18 @@ def txt_toc_filter(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(lines).alias("n"))
 
 
-@query("txt_noise_sub")
+def _noise_sql(text):
+    # RE2 knows no look-ahead: the year keeps the bracket behind it
+    for p in lexicon.NOISE_PATTERNS:
+        p, new = (p.replace(r"(?=\s*\))", r"(\s*\))"), r" \1") if "(?=" in p else (p, " ")
+        text = f"regexp_replace({text}, '{tx.duck(p, '')}', '{new}', 'g')"
+    return f"trim({text}, ' ' || chr(10) || chr(9) || chr(13))"
+
+
+@query("txt_noise_sub", f"SELECT doc_id, md5({_noise_sql('text')}) AS clean FROM documents")
 def txt_noise_sub(spark, d):
     """Documents without references, links, captions and page numbers."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.without_noise("text").alias("clean"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.without_noise("text")).alias("clean"))
 
 
 @query("txt_clean", None)
@@ -138,7 +146,11 @@ def keywords(text):
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(tx.jvm(lexicon.T1_PATTERNS["METH"])), F.lit(0)), F.lower))
 
 
-@query("txt_mask_dynamic")
+_METH = f"list_distinct(list_transform(regexp_extract_all(text, '{tx.duck(lexicon.T1_PATTERNS['METH'])}'), lambda x: lower(x)))"
+_LONGEST = f"list_transform(list_sort(list_transform({_METH}, lambda k: {{'n': -length(k), 'k': k}})), lambda x: x.k)"
+
+
+@query("txt_mask_dynamic", rf"SELECT fragment_id, trim(regexp_replace(list_reduce({_LONGEST}, lambda t, k: regexp_replace(t, '(?i)\b' || regexp_escape(k) || '\b', '[MASK]', 'g'), text), '{_SP}+', ' ', 'g')) AS masked FROM {{FRG}}")
 def txt_mask_dynamic(spark, d):
     """Fragments whose own methodological words are masked, the longest first."""
     return frg(spark, d, "text").select("fragment_id", cleaning.mask("text", keywords("text")).alias("masked"))
@@ -181,7 +193,10 @@ def prep_refactor(spark, d):
     return out.select("fragment_id", "text", tx.word_count("text").alias("n"), cleaning.mask_count("text").alias("masks"))
 
 
-@query("txt_neutralize")
+_NEUTRAL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in lexicon.NEUTRALIZATIONS.items()) + "}"
+
+
+@query("txt_neutralize", f"SELECT fragment_id, list_reduce(list_transform(explicit_hits, lambda h: {{'h': h.hit_text, 'n': coalesce(({_NEUTRAL})[h.label], '')}}), lambda t, x: {{'h': regexp_replace(t.h, '(?i)' || regexp_escape(x.h), x.n), 'n': ''}}, {{'h': text, 'n': ''}}).h AS neutral FROM {{FRG}} WHERE len(explicit_hits) > 0")
 def txt_neutralize(spark, d):
     """Signs of a contribution replaced by neutral wording, the first place of each."""
     rows = frg(spark, d, "text", "explicit_hits").filter("size(explicit_hits) > 0")
@@ -210,7 +225,11 @@ def txt_rhet_context(spark, d):
     return rows.select("seg_id", answers.context_message("heuristic", F.col("t1_label_name"), F.col("t1_confidence"), F.col("rhetorical_zone")).alias("msg"))
 
 
-@query("txt_rhet_context_all")
+_PCT = "round_even(t1_confidence * 100, 0)::INT"
+_IN = f"''' || t1_label_name || ''' (' || {_PCT} || '% conf. {{r}})"
+
+
+@query("txt_rhet_context_all", f"SELECT seg_id, 'Contribucion detectada en seccion {_IN.format(r='retorica')} | ' || rhetorical_zone AS heuristic, 'Contribucion detectada (conf. 65%) en seccion {_IN.format(r='retorica')} | ' || rhetorical_zone AS encoder, 'Contribución detectada en sección {_IN.format(r='retórica')} · ' || rhetorical_zone AS llm, 'Contribución en ''' || t1_label_name || ''' (' || {_PCT} || '%) | ' || rhetorical_zone AS local FROM {{SEG}} WHERE t1_label = 'CONTR'")
 def txt_rhet_context_all(spark, d):
     """The messages of all four kinds of model."""
     rows = seg(spark, d, "t1_label", "t1_label_name", "t1_confidence", "rhetorical_zone").filter("t1_label = 'CONTR'")
