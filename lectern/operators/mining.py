@@ -62,6 +62,8 @@ def sliding_fragments(df: DataFrame, id_col: str, text_col: str, *, min_words: i
         for batch in batches:
             keep, rows = [], []
             for row, (sentences, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if len(sentences) < 3:  # decided here: a filter would make the sentences twice
+                    continue
                 for k, (a, b, words) in enumerate(windows_of(sentences, min_words, max_words, overlap)):
                     text, start = " ".join(sentences[a:b]), max(raw.find(sentences[a][:30]), 0)
                     keep.append(row)
@@ -69,7 +71,7 @@ def sliding_fragments(df: DataFrame, id_col: str, text_col: str, *, min_words: i
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names=names)
 
-    rows = df.filter(F.length(text_col) >= least_chars).select(F.col(id_col).alias("id"), cleaning.sentences(cleaning.clean(text_col)).alias("sentences"), F.col(text_col).alias("raw")).filter(F.size("sentences") >= 3)
+    rows = df.filter(F.length(text_col) >= least_chars).select(F.col(id_col).alias("id"), cleaning.sentences(cleaning.clean(text_col)).alias("sentences"), F.col(text_col).alias("raw"))
     return rows.mapInArrow(run, f"id {kind}, {_WINDOWS}").withColumnRenamed("id", id_col)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import lexicon, text as tx
 from lectern.operators import cleaning, inference, mining, rhetoric as rh, segmentation as sg
-from lectern.plans.registry import frg, log, query, seg
+from lectern.plans.registry import docs, frg, log, query, seg
 from lectern.sources.tables import table
 
 _POS = "(row_number() OVER (PARTITION BY request_id ORDER BY seg_index, seg_id) - 1) / greatest(count(*) OVER (PARTITION BY request_id) - 1, 1)"
@@ -117,7 +117,7 @@ def cls_mine_corpus(spark, d):
     """The whole pipeline: documents cleaned, cut into fragments, scored and capped by document."""
     from pyspark.sql import Window
 
-    cut = mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    cut = mining.sliding_fragments(docs(spark, d), "doc_id", "text")
     rows = cut.withColumn("x", rh.contribution_scores("text", "relative_pos", "section_hint")).select("doc_id", "idx", "text", "word_count", "char_start", "char_end", "relative_pos", "section_hint", "x.*")
     bucket = F.when(F.col("contr_type") == "none", "none").when(F.col("contr_type").isin("explicit", "implicit"), "contr").otherwise("weak")
     rows = rows.withColumn("bucket", bucket).withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("idx")))
@@ -131,8 +131,8 @@ def cls_autolabel(spark, d):
     Documents are taken in order until every section has 1,800 snippets; those after that are left out.
     """
     labelled = table(spark, d, "subject_labels", "doc_id").distinct()
-    docs = table(spark, d, "documents", "doc_id", "text").join(labelled, "doc_id", "left_anti").filter(sg.is_formal("text"))
-    return mining.labelled_snippets(docs, "doc_id", "text", 1800)
+    rows = docs(spark, d).join(labelled, "doc_id", "left_anti").filter(sg.is_formal("text"))
+    return mining.labelled_snippets(rows, "doc_id", "text", 1800)
 
 
 @query("cls_encoder")
@@ -217,7 +217,7 @@ def sql_functions(spark, d):
     from lectern.functions.registered import register
 
     register(spark)
-    rows = table(spark, d, "documents", "doc_id", "text").withColumn("p", sg.paragraphs("text"))
+    rows = docs(spark, d).withColumn("p", sg.paragraphs("text"))
     return rows.select("doc_id", (F.expr("split_paragraphs(text)") == F.col("p")).alias("same"), F.expr("round(kappa(81L, 89L, 15L, 15L), 4)").alias("kappa"))
 
 
@@ -227,5 +227,5 @@ def sql_sliding_fragments(spark, d):
     from lectern.functions.registered import register
 
     register(spark)
-    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.sentences("text").alias("sentences"))
-    return spark.sql("SELECT doc_id, f.* FROM {docs}, LATERAL sliding_fragments(sentences, 250, 1000, 2) f", docs=docs)
+    rows = docs(spark, d).select("doc_id", cleaning.sentences("text").alias("sentences"))
+    return spark.sql("SELECT doc_id, f.* FROM {docs}, LATERAL sliding_fragments(sentences, 250, 1000, 2) f", docs=rows)

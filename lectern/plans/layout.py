@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import layout as ly
-from lectern.plans.registry import query
+from lectern.plans.registry import docs, query
 from lectern.sources.tables import table
 
 _W = "(SELECT unnest([595, 842, 612, 612, 500, 500]) AS w, unnest([842, 595, 1008, 792, 1100, 830]) AS h)"
@@ -20,7 +20,7 @@ def pdf_format(spark, d):
 def _items(spark, d):
     """Three-word items: (doc_id, page, item, text, x, y, height, page_width, page_height, column)."""
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / 3), F.lit(0))), lambda k: F.array_join(F.slice(words, (k * 3 + 1).cast("int"), 3), " "))).alias("k", "text"))
+    rows = docs(spark, d).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / 3), F.lit(0))), lambda k: F.array_join(F.slice(words, (k * 3 + 1).cast("int"), 3), " "))).alias("k", "text"))
     two = F.pmod("doc_id", F.lit(2)) == 0
     line, column = F.pmod("k", F.lit(50)), F.when(two, F.pmod(F.floor(F.col("k") / 50), F.lit(2))).otherwise(0)
     page = F.when(two, F.floor(F.col("k") / 100)).otherwise(F.floor(F.col("k") / 50)).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lectern.functions import lexicon, text as tx
 from lectern.operators import segmentation as sg
-from lectern.plans.registry import frg, query, seg
+from lectern.plans.registry import docs, frg, query, seg
 from lectern.sources.tables import table
 
 _SP = "[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}\\x{1680}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{0085}]"
@@ -40,7 +40,7 @@ _ANCHORS = " + ".join(f"contains(lower(left(text, 2000)), '{a}')::INT" for a in
 
 @query("filt_formal_doc", f"SELECT doc_id FROM documents WHERE {_ANCHORS} >= 2")
 def filt_formal_doc(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").filter(sg.is_formal("text")).select("doc_id")
+    return docs(spark, d).filter(sg.is_formal("text")).select("doc_id")
 
 
 _BIB = " + ".join(f"contains(lower(text), '{a}')::INT" for a in lexicon.BIBLIOGRAPHY_MARKS)
@@ -57,7 +57,7 @@ _FM = " + ".join("regexp_matches(head, '" + p.replace("'", "''") + "')::INT" for
 
 @query("filt_frontmatter", f"SELECT doc_id, score FROM (SELECT doc_id, {_FM} AS score FROM (SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, floor(length(text) * 0.3)::INT) ELSE text END AS head FROM documents)) WHERE score >= 2")
 def filt_frontmatter(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", sg.frontmatter_score("text").alias("score")).filter("score >= 2")
+    return docs(spark, d).select("doc_id", sg.frontmatter_score("text").alias("score")).filter("score >= 2")
 
 
 _NOISE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents), w AS (SELECT doc_id, idx, trim(line, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM l), f AS (SELECT *, regexp_matches(t, '{lexicon.BIBLIOGRAPHY_HEADING}') AS heading, regexp_matches(t, '{lexicon.NUMBERED_REFERENCE}') AS ref, len(regexp_extract_all(t, '\\S+')) AS n FROM w),
@@ -68,7 +68,7 @@ _NOISE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS li
 
 @query("filt_noise", _NOISE)
 def filt_noise(spark, d):
-    lines = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "line"))
     return sg.noise_class(lines, "doc_id", ["idx"], "line").select("doc_id", "idx", "noise")
 
 

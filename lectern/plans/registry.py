@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.runtime import spread
 from lectern.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,11 @@ log = _distinct("prediction_log", "log_id", "logged_at")
 ann = _distinct("annotations", "ann_id", None)
 
 
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text) of all documents, spread for work on whole texts."""
+    return spread(table(spark, d, "documents", "doc_id", "text"), "doc_id")
+
+
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every module of queries and return what they registered."""
     from lectern.plans import aggregates, classify, joins, layout, metrics, projections, sampling, scalars, setops, sources, streams, windows  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon, text as tx
 from lectern.operators import answers, cleaning, segmentation as sg
 from lectern.plans.projections import _NS, _SP
-from lectern.plans.registry import frg, log, query, seg
+from lectern.plans.registry import docs, frg, log, query, seg
 from lectern.sources.tables import table
 
 
@@ -26,34 +26,45 @@ def txt_ws_collapse(spark, d):
     return seg(spark, d, "text").select("seg_id", tx.squeeze("text").alias("t"))
 
 
-@query("txt_split_para", "SELECT doc_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS paragraph FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{2,}'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') AS p FROM documents WHERE regexp_matches(trim(text, ' ' || chr(10)), '\\n{2,}')) WHERE len(p) > 1")
-def txt_split_para(spark, d):
-    rows = table(spark, d, "documents", "doc_id", "text").filter(F.trim("text", F.lit(" \n")).rlike(r"\n{2,}"))
-    return rows.select("doc_id", F.posexplode(sg.paragraphs("text")).alias("idx", "paragraph"))
+_TRIM = "trim({x}, ' ' || chr(10) || chr(9) || chr(13))"
+_BLOCKS = f"list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: {_TRIM.format(x='x')}), lambda x: x <> '')"
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM.format(x='x')}), lambda x: x <> '')"
+_SENTS = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_WC = f"len(regexp_extract_all(x, '{_NS}+'))"
+
 
+def _grouped(parts, header):
+    """Parts gathered to 25 words; a header is a group of its own."""
+    item = f"{{'cur': [x], 'wc': {_WC}, 'out': []::VARCHAR[], 'h': {header}}}"
+    closed = "CASE WHEN len({a}.cur) > 0 THEN list_append({a}.out, array_to_string({a}.cur, ' ')) ELSE {a}.out END"
+    cur, wc, out = "CASE WHEN x.h THEN x.cur ELSE list_concat(a.cur, x.cur) END", "CASE WHEN x.h THEN x.wc ELSE a.wc + x.wc END", f"CASE WHEN x.h THEN {closed.format(a='a')} ELSE a.out END"
+    step = f"CASE WHEN x.h OR {wc} >= 25 THEN {{'cur': []::VARCHAR[], 'wc': 0, 'out': list_append({out}, array_to_string({cur}, ' ')), 'h': false}} ELSE {{'cur': {cur}, 'wc': {wc}, 'out': {out}, 'h': false}} END"
+    return f"(SELECT {closed.format(a='g')} FROM (SELECT list_reduce(list_transform({parts}, lambda x: {item}), lambda a, x: {step}, {{'cur': []::VARCHAR[], 'wc': 0, 'out': []::VARCHAR[], 'h': false}}) AS g))"
 
-@query("txt_split_para_all")
-def txt_split_para_all(spark, d):
+
+@query("txt_split_para", f"""WITH m AS (SELECT doc_id, CASE WHEN len({_BLOCKS}) > 1 THEN {_BLOCKS} WHEN len({_LINES}) > 3 THEN {_grouped(_LINES, f"{_WC} <= 5 AND regexp_matches(x, '^[A-ZAEIOUÜN]')")} ELSE list_filter({_grouped(_SENTS, "false")}, lambda x: trim(x) <> '') END AS p, text FROM documents),
+ q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p ELSE [text] END AS p FROM m) SELECT doc_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS paragraph FROM q""")
+def txt_split_para(spark, d):
     """Paragraphs of every document, whichever way it is laid out."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.paragraphs("text")).alias("idx", "paragraph"))
+    return docs(spark, d).select("doc_id", F.posexplode(sg.paragraphs("text")).alias("idx", "paragraph"))
 
 
 @query("txt_split_para_js")
 def txt_split_para_js(spark, d):
     """The variant that peels headings off and knows accented capitals."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.paragraphs("text", "A-ZÁÉÍÓÚÜÑ", True)).alias("idx", "paragraph"))
+    return docs(spark, d).select("doc_id", F.posexplode(sg.paragraphs("text", "A-ZÁÉÍÓÚÜÑ", True)).alias("idx", "paragraph"))
 
 
 @query("txt_split_sent")
 def txt_split_sent(spark, d):
     """Sentences, with the usual abbreviations protected."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(cleaning.sentences("text")).alias("idx", "sentence"))
+    return docs(spark, d).select("doc_id", F.posexplode(cleaning.sentences("text")).alias("idx", "sentence"))
 
 
 @query("txt_sent_alt")
 def txt_sent_alt(spark, d):
     """Sentences by a segmenter of choice; without an installed library, by rules."""
-    return cleaning.sentences_by(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", cleaning.installed_segmenter())
+    return cleaning.sentences_by(docs(spark, d), "doc_id", "text", cleaning.installed_segmenter())
 
 
 @query("txt_split_sent_simple", "SELECT seg_id, generate_subscripts(p, 1) - 1 AS idx, unnest(p) AS s FROM (SELECT seg_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS p FROM {SEG})")
@@ -64,13 +75,13 @@ def txt_split_sent_simple(spark, d):
 @query("txt_segment_window")
 def txt_segment_window(spark, d):
     """Snippets of 250 to 350 words from lines of five words or more."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.word_windows("text", 250, 350)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
+    return docs(spark, d).select("doc_id", F.posexplode(sg.word_windows("text", 250, 350)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
 
 
 @query("txt_segment_window_v0")
 def txt_segment_window_v0(spark, d):
     """The earlier variant: 250 to 750 words, only empty lines are left out."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.word_windows("text", 250, 750, 1)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
+    return docs(spark, d).select("doc_id", F.posexplode(sg.word_windows("text", 250, 750, 1)).alias("idx", "snippet")).withColumn("n", tx.word_count("snippet"))
 
 
 @query("txt_sliding_frag")
@@ -78,17 +89,17 @@ def txt_sliding_frag(spark, d):
     """Overlapping windows of whole sentences, 250 to 1,000 words, with offsets and the heading before them."""
     from lectern.operators import mining
 
-    return mining.sliding_fragments(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return mining.sliding_fragments(docs(spark, d), "doc_id", "text")
 
 
 @query("txt_normalize_pdf", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '-[\r\n]+([a-záéíóúüñ])', '\1', 'g'), '([.!?;:,])([A-ZÁÉÍÓÚÜÑ\d¿¡])', '\1 \2', 'g'), '$^', ''), '–', ' '), '—', ' '), '[ \t\r\f\v]{2,}', ' ', 'g'), '$^', '')) AS h FROM documents""")
 def txt_normalize_pdf(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.normalize_pdf("text")).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(cleaning.normalize_pdf("text")).alias("h"))
 
 
 @query("txt_dehyphen", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_]+)-[\s]+([\p{L}\p{N}_]+)', '\1\2', 'g'), '\s+', ' ', 'g'))) AS h FROM documents")
 def txt_dehyphen(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.dehyphen("text")).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(cleaning.dehyphen("text")).alias("h"))
 
 
 _V, _PH, _DH, _CAP = (tx.duck(x, "").replace("(?:a|á)", "[aá]") for x in (lexicon.CONTENT_VERBS, lexicon.PAGE_HEADER, lexicon.DOCUMENT_HEADER, lexicon.CAPTION))
@@ -99,7 +110,7 @@ _KEEP = rf"""l = '' OR NOT (regexp_matches(l, '{_PH}') OR regexp_matches(l, '{_D
 @query("txt_toc_filter", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS l FROM documents) WHERE {_KEEP} GROUP BY doc_id")
 def txt_toc_filter(spark, d):
     lines = F.split(cleaning.without_toc("text"), "\n", -1)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(lines).alias("n"))
+    return docs(spark, d).select("doc_id", F.size(lines).alias("n"))
 
 
 def _noise_sql(text):
@@ -113,18 +124,18 @@ def _noise_sql(text):
 @query("txt_noise_sub", f"SELECT doc_id, md5({_noise_sql('text')}) AS clean FROM documents")
 def txt_noise_sub(spark, d):
     """Documents without references, links, captions and page numbers."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(cleaning.without_noise("text")).alias("clean"))
+    return docs(spark, d).select("doc_id", F.md5(cleaning.without_noise("text")).alias("clean"))
 
 
 @query("txt_clean", None)
 def txt_clean(spark, d):
     """All cleaning steps in order."""
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.clean("text").alias("clean"))
+    return docs(spark, d).select("doc_id", cleaning.clean("text").alias("clean"))
 
 
 @query("txt_section_hint", """SELECT doc_id, coalesce(left(list_filter(list_transform(string_split(substr(text, greatest(c - 500, 0) + 1, least(c, 500)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: length(x) > 3 AND length(x) < 70 AND right(x, 1) <> '.' AND left(x, 1) <> '[')[-1], 60), 'unknown') AS hint FROM (SELECT doc_id, text, length(text) // 2 AS c FROM documents)""")
 def txt_section_hint(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", cleaning.section_hint("text", F.floor(F.length("text") / 2).cast("int")).alias("hint"))
+    return docs(spark, d).select("doc_id", cleaning.section_hint("text", F.floor(F.length("text") / 2).cast("int")).alias("hint"))
 
 
 _RC = ", ".join(f"len(regexp_extract_all(text, '{tx.duck(p)}')) AS {k.lower()}" for k, p in lexicon.T1_PATTERNS.items())
@@ -266,7 +277,7 @@ def txt_tokens_topn(spark, d):
 
 @query("txt_hash", "SELECT doc_id, substr(md5(left(text, 2048)), 1, 12) AS m, substr(sha1(left(text, 65536)), 1, 12) AS s1, sha256(text) AS s2 FROM documents")
 def txt_hash(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.substring(F.md5(F.substring("text", 1, 2048)), 1, 12).alias("m"), F.substring(F.sha1(F.substring("text", 1, 65536)), 1, 12).alias("s1"), F.sha2("text", 256).alias("s2"))
+    return docs(spark, d).select("doc_id", F.substring(F.md5(F.substring("text", 1, 2048)), 1, 12).alias("m"), F.substring(F.sha1(F.substring("text", 1, 65536)), 1, 12).alias("s1"), F.sha2("text", 256).alias("s2"))
 
 
 def _prompt_sql(task):

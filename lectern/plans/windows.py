@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lectern.operators import segmentation as sg
-from lectern.plans.registry import frg, log, query, seg
+from lectern.plans.registry import docs, frg, log, query, seg
 from lectern.sources.tables import table
 
 
@@ -26,7 +26,7 @@ def win_relative_pos(spark, d):
  SELECT doc_id, i - 1 AS idx, s AS char_start, e AS char_end FROM r WHERE i > 0""")
 def win_char_offset(spark, d):
     parts = F.split("text", "\n", -1)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(sg.char_offsets("text", parts)).alias("idx", "x")).select("doc_id", "idx", F.col("x.start").alias("char_start"), F.col("x.end").alias("char_end"))
+    return docs(spark, d).select("doc_id", F.posexplode(sg.char_offsets("text", parts)).alias("idx", "x")).select("doc_id", "idx", F.col("x.start").alias("char_start"), F.col("x.end").alias("char_end"))
 
 
 @query("win_best_per_file", "SELECT doc_id, t1_label, seg_id, t1_confidence FROM {SEG} WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, t1_label ORDER BY t1_confidence DESC, seg_id) = 1")

@@ -80,3 +80,9 @@ def _drop_all() -> None:
 def cores(spark: SparkSession) -> int:
     """Task slots of the session, at least one."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df on as many tasks as there are slots, where its source has fewer parts (a small file is one part): for work that costs far more than moving the rows."""
+    slots = cores(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
