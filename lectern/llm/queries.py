@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.llm import garble, leakage, linked_splits, mixing, neardup, overlap, pieces, quota_sample, sentences, subjects
 from lectern.llm.keys import plain, plain_doc, source_of
-from lectern.runtime import materialize
+from lectern.runtime import materialize, spread
 from lectern.sources.tables import table
 
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 NEAR = {"width": 3, "threshold": 0.6, "min_words": 30}
 
 
+def _texts(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a table, spread over all slots: for work on whole texts."""
+    return spread(table(spark, d, name, key, *columns), key)
+
+
 # 1 --------------------------------------------------------------------------------------------
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     docs = linked_splits.document_components(table(spark, d, "fragments", "doc_id", "doc_hash"))
@@ -66,7 +71,7 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
 # 3 --------------------------------------------------------------------------------------------
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized fragment."""
-    return pieces.split_oversized(table(spark, d, "fragments", "fragment_id", "text"), "fragment_id", "text").withColumnRenamed("id", "fragment_id")
+    return pieces.split_oversized(_texts(spark, d, "fragments", "fragment_id", "text"), "fragment_id", "text").withColumnRenamed("id", "fragment_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +81,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 # 4 --------------------------------------------------------------------------------------------
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentence units of every fragment."""
-    return sentences.sentence_units(table(spark, d, "fragments", "fragment_id", "text"), "fragment_id", "text").withColumnRenamed("id", "fragment_id")
+    return sentences.sentence_units(_texts(spark, d, "fragments", "fragment_id", "text"), "fragment_id", "text").withColumnRenamed("id", "fragment_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +92,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 # 7 --------------------------------------------------------------------------------------------
 def _values(spark: SparkSession, d: str, *fields: str) -> DataFrame:
-    rows = table(spark, d, "fragments", "fragment_id", "doc_id", *fields)
+    rows = _texts(spark, d, "fragments", "fragment_id", "doc_id", *fields)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     return rows.select(F.col("fragment_id").alias("id"), source_of("doc_id").alias("source"), each.alias("x")).select("id", "source", "x.field", "x.value").filter("value is not null")
 
@@ -106,7 +111,7 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
 # 5 --------------------------------------------------------------------------------------------
 def _near(spark: SparkSession, d: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Members and links of one table; garbled fragments, as far as they have a partner, are left out."""
-    members, links = neardup.near_duplicate_groups(table(spark, d, name, key, "text"), key, "text", latin_only=True, **NEAR)
+    members, links = neardup.near_duplicate_groups(_texts(spark, d, name, key, "text"), key, "text", latin_only=True, **NEAR)
     if name == "fragments":
         with_partner = members.join(links.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct(), "set_id", "left_semi")
         several = members.groupBy("set_id").agg(F.count("*").alias("n")).filter("n > 1")
@@ -146,7 +151,7 @@ def _split_tag():
 
 
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "fragments", "fragment_id", "split", "text")
+    rows = _texts(spark, d, "fragments", "fragment_id", "split", "text")
     members, found = overlap.cross_split_overlaps(rows, "fragment_id", "text", _split_tag(), **NEAR)
     pairs = materialize(overlap.overlap_pairs(members, found).filter("eval_id <> train_id"), "p6-pairs")
     asked = materialize(pairs.select(F.explode(F.array("eval_id", "train_id")).alias("id")).distinct(), "p6-asked")
@@ -171,7 +176,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 # 8 --------------------------------------------------------------------------------------------
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents and items with the longest common run and the least edit distance of 12 words (at most one)."""
-    return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "gold_items", "item_id", "text"), run=12, errors=1)
+    return leakage.leaked_passages(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "gold_items", "item_id", "text"), run=12, errors=1)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +185,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 # 9 --------------------------------------------------------------------------------------------
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.count_tokens(table(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+    return mixing.count_tokens(_texts(spark, d, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +209,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 # 10 -------------------------------------------------------------------------------------------
 def p10_areas(spark: SparkSession, d: str) -> DataFrame:
     """The areas of every document, with the share of its subject-bearing sentences."""
-    documents = table(spark, d, "documents", "doc_id", "text", "source")
+    documents = _texts(spark, d, "documents", "doc_id", "text", "source")
     model = subjects.train(documents, table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
     return subjects.subject_areas(documents, model)
 
