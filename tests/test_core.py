@@ -124,7 +124,14 @@ def test_fragments_of_a_document(spark):
     assert all(r["word_count"] == len(r["text"].split()) >= 60 and r["section_hint"] == "Un título breve" for r in got[1:3])
 
 
-def test_labelled_snippets_stop_when_all_sections_are_full(spark):
+def test_labelled_snippets_stop_when_all_sections_are_full(spark, monkeypatch):
+    line = "La metodología y la muestra con el análisis estadístico y el diseño experimental del estudio"
+    rows = spark.createDataFrame([(i, "\n".join([line] * (20 + i))) for i in range(4)], "id int, t string")
+    got = mining.labelled_snippets(rows, "id", "t", 2).orderBy("id").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3] and {r["category"] for r in got} == {"METH"} and all(r["word_count"] >= 250 and r["idx"] == 0 for r in got)
+    monkeypatch.setattr(rh, "SECTION_ORDER", ["METH"])
+    assert [r["id"] for r in mining.labelled_snippets(rows, "id", "t", 2).orderBy("id").collect()] == [0, 1]
+    monkeypatch.undo()
     found = mining.labelled_snippets(spark.createDataFrame([(1, None), (2, "nada")], "id int, t string"), "id", "t", 5)
     assert found.count() == 0
 
