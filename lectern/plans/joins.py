@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lectern.functions import lexicon
+from lectern.operators.segmentation import noise_class
+from lectern.plans.projections import noise_sql
 from lectern.plans.registry import ann, frg, log, query, seg
 from lectern.sources.tables import table
 
@@ -94,15 +96,19 @@ def join_semi_split(spark, d):
     return rows.join(rows.filter("split = 'val'").select("doc").distinct(), "doc", "left_semi").select("fragment_id")
 
 
-@query("join_interleave", """WITH p AS (SELECT *, word_count IS NULL OR word_count < 15 AS noise FROM {SEG}), k AS (SELECT *, row_number() OVER (PARTITION BY request_id, noise ORDER BY seg_index, seg_id) AS k FROM p),
- r AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY log_id) AS k, model_id AS answered_by FROM {LOG} WHERE task = 'T1' AND request_id IS NOT NULL)
- SELECT k.seg_id, k.noise, row_number() OVER (PARTITION BY k.request_id ORDER BY k.seg_index, k.seg_id) - 1 AS new_index, r.answered_by FROM k LEFT JOIN r ON r.request_id = k.request_id AND r.k = k.k AND NOT k.noise""")
+_MARKED = noise_sql("{SEG}", "request_id", "seg_index, seg_id", "request_id, seg_index, seg_id")
+
+
+@query("join_interleave", f"""WITH p AS (SELECT * EXCLUDE (noise), noise, noise IS NOT NULL AS is_noise FROM {_MARKED}), k AS (SELECT *, row_number() OVER (PARTITION BY request_id, is_noise ORDER BY seg_index, seg_id) AS k FROM p),
+ r AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY log_id) AS k, model_id AS answered_by FROM {{LOG}} WHERE task = 'T1' AND request_id IS NOT NULL)
+ SELECT k.seg_id, k.noise, row_number() OVER (PARTITION BY k.request_id ORDER BY k.seg_index, k.seg_id) - 1 AS new_index, r.answered_by FROM k LEFT JOIN r ON r.request_id = k.request_id AND r.k = k.k AND NOT k.is_noise""")
 def join_interleave(spark, d):
-    rows = seg(spark, d, "request_id", "seg_index", "word_count").withColumn("noise", F.col("word_count").isNull() | (F.col("word_count") < 15))
-    order = ("seg_index", "seg_id")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("request_id", "noise").orderBy(*order))).withColumn("new_index", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)) - 1)
-    answers = log(spark, d, "request_id", "task", "model_id").filter("task = 'T1' and request_id is not null").select("request_id", F.row_number().over(Window.partitionBy("request_id").orderBy("log_id")).alias("k"), F.lit(False).alias("noise"), F.col("model_id").alias("answered_by"))
-    return rows.join(answers, ["request_id", "k", "noise"], "left").select("seg_id", "noise", "new_index", "answered_by")
+    """The k-th clean paragraph of a request with its k-th answer; noise stays in its place, without an answer."""
+    order = ["seg_index", "seg_id"]
+    rows = noise_class(seg(spark, d, "request_id", "seg_index", "text"), "request_id", order, "text").select("request_id", *order, "noise").withColumn("is_noise", F.col("noise").isNotNull())
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("request_id", "is_noise").orderBy(*order))).withColumn("new_index", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)) - 1)
+    answers = log(spark, d, "request_id", "task", "model_id").filter("task = 'T1' and request_id is not null").select("request_id", F.row_number().over(Window.partitionBy("request_id").orderBy("log_id")).alias("k"), F.lit(False).alias("is_noise"), F.col("model_id").alias("answered_by"))
+    return rows.join(answers, ["request_id", "k", "is_noise"], "left").select("seg_id", "noise", "new_index", "answered_by")
 
 
 @query("join_cross_param", """SELECT t.threshold, count(*) AS n, count(*) FILTER (score_implicit >= t.threshold) AS positive FROM {FRG} CROSS JOIN (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5]) AS threshold) t GROUP BY t.threshold""")

@@ -60,10 +60,16 @@ def filt_frontmatter(spark, d):
     return docs(spark, d).select("doc_id", sg.frontmatter_score("text").alias("score")).filter("score >= 2")
 
 
-_NOISE = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents), w AS (SELECT doc_id, idx, trim(line, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM l), f AS (SELECT *, regexp_matches(t, '{lexicon.BIBLIOGRAPHY_HEADING}') AS heading, regexp_matches(t, '{lexicon.NUMBERED_REFERENCE}') AS ref, len(regexp_extract_all(t, '\\S+')) AS n FROM w),
- s AS (SELECT *, coalesce(max((heading OR ref)::INT) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM f)
- SELECT doc_id, idx, CASE WHEN t = '' THEN 'short' WHEN inside = 1 THEN 'biblio' WHEN heading THEN 'header' WHEN ref THEN 'biblio' WHEN regexp_matches(t, '{lexicon.FRONT_LINE}') THEN 'frontmatter'
- WHEN n < 15 AND NOT regexp_matches(t, '[.!?…]\\s*$') THEN 'header' WHEN n < 15 THEN 'short' END AS noise FROM s"""
+def noise_sql(rows: str, doc: str, order: str, keep: str) -> str:
+    """The noise of (doc, order, text) rows, with the columns of keep."""
+    return f"""(WITH w AS (SELECT {keep}, trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM {rows}), f AS (SELECT *, regexp_matches(t, '{lexicon.BIBLIOGRAPHY_HEADING}') AS heading, regexp_matches(t, '{lexicon.NUMBERED_REFERENCE}') AS ref, len(regexp_extract_all(t, '\\S+')) AS n FROM w),
+ s AS (SELECT *, coalesce(max((heading OR ref)::INT) OVER (PARTITION BY {doc} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM f)
+ SELECT {keep}, CASE WHEN t = '' THEN 'short' WHEN inside = 1 THEN 'biblio' WHEN heading THEN 'header' WHEN ref THEN 'biblio' WHEN regexp_matches(t, '{lexicon.FRONT_LINE}') THEN 'frontmatter'
+ WHEN n < 15 AND NOT regexp_matches(t, '[.!?…]\\s*$') THEN 'header' WHEN n < 15 THEN 'short' END AS noise FROM s)"""
+
+
+_LINE_ROWS = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)"
+_NOISE = f"SELECT * FROM {noise_sql(_LINE_ROWS, 'doc_id', 'idx', 'doc_id, idx')}"
 
 
 @query("filt_noise", _NOISE)
