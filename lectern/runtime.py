@@ -33,6 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[key]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A place for a table in the shared folder, removed with the application's other tables."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _OPEN:
+        atexit.register(_drop_all)
+    _OPEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here.
 
@@ -40,11 +49,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     what is left goes with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.mode("error").option("compression", "zstd").parquet(path)
-    if not _OPEN:
-        atexit.register(_drop_all)
-    _OPEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
