@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,43 @@ def test_overlaps_in_many_shards(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, five.collect())) and one.count() > 100
 
 
+def test_equal_texts_are_matched_once(spark, monkeypatch):
+    rows = [(1000 * copy + i, t) for copy in range(8) for i, t in family(40)]
+    many = fragments(spark, rows).repartitionByRange(8, "fragment_id")  # each copy in a task of its own
+    tag = F.when(F.col("fragment_id") % 4 == 0, "eval").otherwise("train")
+    near = {"width": 3, "threshold": 0.6, "min_words": 30}
+    members, found = overlap.cross_split_overlaps(many, "fragment_id", "text", tag, **near)
+    got = {(r["eval_id"], r["train_id"]) for r in overlap.overlap_pairs(members, found).collect()}
+    one = {(a, b) if a % 4 == 0 else (b, a) for a, b in jaccard_pairs(rows[:40]) if (a % 4 == 0) != (b % 4 == 0)}
+    assert got == {(a + 1000 * x, b + 1000 * y) for a, b in one for x in range(8) for y in range(8)}
+    shards = []
+
+    def seen(path, k, threshold, width):
+        def run(batches):
+            from pyspark import TaskContext
+
+            part = TaskContext.get().partitionId()
+            sets = [s for b in batches for s in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([part] * len(sets), pa.int64()), pa.array([1.0] * len(sets))], names=["set_a", "set_b", "coverage"])
+
+        shards.append(k)
+        return run
+
+    monkeypatch.setattr(overlap, "_match", seen)
+    _, tasks = overlap.cross_split_overlaps(many, "fragment_id", "text", tag, **near, a_shard=5000)
+    assert tasks.count() == 30  # every set in one task
+    assert shards == [1]  # 10 records of 300 passages, not 80
+
+
+def test_least_overlap_follows_the_sizes():
+    assert overlap._least(np.array([100, 300, 500]), 300, 0.6).tolist() == [150, 225, 300]
+    for n in range(1, 60):
+        for m in range(1, 60):
+            if min(n, m) >= 0.6 * max(n, m):
+                both = next(b for b in range(min(n, m) + 1) if b >= 0.6 * (n + m - b) - 1e-9)
+                assert overlap._least(np.array([n]), m, 0.6)[0] == both
+
+
 def test_automaton_against_search():
     rng = random.Random(4)
     texts = [[rng.randrange(12) for _ in range(rng.randrange(0, 40))] for _ in range(30)]
