@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Page sizes in points (width, height), in order of preference.
 SIZES = (("A4", 595, 842), ("Oficio", 612, 1008), ("Folio", 612, 936), ("Carta", 612, 792))
 #: Heights above which a page of no known size is taken for one.
 FALLBACKS = ((1000, "Oficio"), (870, "Folio"), (820, "A4"))
+#: What str.strip() takes away, for a class of characters.
+_BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def page_format(width: Column | str, height: Column | str, tolerance: float = 8) -> Column:
@@ -101,6 +104,40 @@ def pages(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, columns int, text string")
 
 
+def page_columns(items: DataFrame, margin: float = 0.07) -> DataFrame:
+    """(doc_id, page, columns): the columns that ``pages`` finds, without the texts.  All items of a page name the same page size.
+
+    Items are counted by their left edge before they travel, so a page is a few rows; pages of the same edges
+    and counts in a batch are looked at once.
+    """
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), f"^[{_BLANKS}]+|[{_BLANKS}]+$", "")
+    body = F.coalesce((F.col("y") > margin * F.col("page_height")) & (F.col("y") < (1 - margin) * F.col("page_height")) & (bare != ""), F.lit(False))
+    rows = items.select("doc_id", "page", "page_width", body.alias("body"), F.when(body & (F.length(bare) > 3), F.coalesce(F.col("x").cast("double"), F.lit(float("nan")))).alias("edge"))
+    edges = rows.groupBy("doc_id", "page", "edge").agg(F.count_if("body").alias("n"), F.max("page_width").cast("double").alias("page_width"))
+    edge = F.when(F.col("edge").isNotNull(), F.struct("edge", "n"))
+    each = edges.groupBy("doc_id", "page").agg(F.sum("n").alias("body"), F.max("page_width").alias("page_width"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[tuple, int] = {}
+            out = []
+            edges = batch.column(4)
+            flat, ends = edges.flatten(), np.cumsum([0, *edges.value_lengths().to_pylist()])
+            xs, counts = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for i, (n, width) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, c = xs[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]
+                if n < 4 or x.size < 2:  # all at one edge
+                    out.append(1)
+                    continue
+                key = (width, x.tobytes(), c.tobytes())
+                if key not in known:
+                    known[key] = column_count(np.repeat(x, c), width)
+                out.append(known[key])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["doc_id", "page", "columns"])
+
+    return each.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "body", "page_width", "edges").mapInArrow(run, "doc_id long, page int, columns int")
+
+
 def in_reading_order(items: DataFrame, margin: float = 0.07) -> DataFrame:
     """Items without headers and footers, with ``place``: their place on the page, columns from the left, then downwards."""
     from pyspark.sql import Window

@@ -19,8 +19,8 @@ def pdf_format(spark, d):
 
 def _items(spark, d):
     """Three-word items: (doc_id, page, item, text, x, y, height, page_width, page_height, column)."""
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    rows = docs(spark, d).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / 3), F.lit(0))), lambda k: F.array_join(F.slice(words, (k * 3 + 1).cast("int"), 3), " "))).alias("k", "text"))
+    words = F.col("words")  # a column, not an expression: that would be worked out again for every item
+    rows = docs(spark, d).select("doc_id", F.split(F.regexp_replace("text", r"\s+", " "), " ").alias("words")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / 3), F.lit(0))), lambda k: F.array_join(F.slice(words, (k * 3 + 1).cast("int"), 3), " "))).alias("k", "text"))
     two = F.pmod("doc_id", F.lit(2)) == 0
     line, column = F.pmod("k", F.lit(50)), F.when(two, F.pmod(F.floor(F.col("k") / 50), F.lit(2))).otherwise(0)
     page = F.when(two, F.floor(F.col("k") / 100)).otherwise(F.floor(F.col("k") / 50)).cast("int")
@@ -36,7 +36,7 @@ def pdf_columns(spark, d):
 @query("pdf_kmeans1d")
 def pdf_kmeans1d(spark, d):
     """Pages by the number of columns found."""
-    return ly.pages(_items(spark, d)).groupBy("columns").agg(F.count("*").alias("pages"))
+    return ly.page_columns(_items(spark, d)).groupBy("columns").agg(F.count("*").alias("pages"))
 
 
 @query("pdf_paragraphs")

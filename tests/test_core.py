@@ -260,6 +260,31 @@ def test_layout():
     assert layout.page_text(items) == (1, "unodos\n\ntres")
 
 
+def test_page_columns_are_those_of_pages(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for page in range(60):
+        edges = [rng.choice([50.0, 60.0, 200.0, 320.0, 330.5, 430.0, 600.0]) for _ in range(rng.randrange(1, 4))]
+        for k in range(rng.randrange(1, 40)):
+            text = rng.choice(["largo texto", "uno", "\u00a0dos\u3000", "cuatro", " \u2003 ", "", None, "\x1fabcd\x85"])
+            rows.append((page // 7, page, k, text, rng.choice(edges) + rng.choice([0.0, 0.0, 1.25]), rng.uniform(0, 842), 10.0, 595.0, 842.0))
+    items = spark.createDataFrame(rows, "doc_id long, page int, item int, text string, x double, y double, height double, page_width double, page_height double")
+    want = {(r["doc_id"], r["page"]): r["columns"] for r in layout.pages(items).collect()}
+    got = {(r["doc_id"], r["page"]): r["columns"] for r in layout.page_columns(items).collect()}
+    assert got == want and len(want) == 60 and set(want.values()) == {1, 2, 3}
+
+
+def test_items_split_a_text_once(spark, tmp_path):
+    from lectern.plans import layout as plans
+
+    spark.createDataFrame([(1, "uno dos tres\ncuatro  cinco"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = plans._items(spark, str(tmp_path))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" in plan and not any("split(" in x.split("lambdafunction", 1)[1] for x in plan.splitlines() if "lambdafunction" in x)
+    assert [(r["doc_id"], r["item"], r["text"]) for r in items.orderBy("doc_id", "item").collect()] == [(1, 0, "uno dos tres"), (1, 1, "cuatro cinco"), (2, 0, None)]
+
+
 def test_lexicon_sizes():
     assert (len(lexicon.T1_PATTERNS), len(lexicon.EXPLICIT_PATTERNS), len(lexicon.IMPLICIT_PATTERNS), len(lexicon.INJECTION_PHRASES), len(lexicon.FRONTMATTER_PATTERNS)) == (8, 20, 10, 20, 12)
 
